@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from folioscope.llm import exact_dedup, sharding
+from folioscope.llm import decontaminate, exact_dedup, sharding
 
 QUERIES = {
     "op3_sharding": sharding.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op7_decontamination": decontaminate.query,
 }
 
 #: Operators without SQL are tested against brute force, exact round trips or held-out rows in tests/llm.
 ORACLE = {
     "op5_exact_dedup": exact_dedup.SQL,
+    "op7_decontamination": decontaminate.SQL,
 }
