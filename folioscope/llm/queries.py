@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, exact_dedup, sharding
+from folioscope.llm import decontaminate, exact_dedup, sharding, toxicity
 
 QUERIES = {
     "op3_sharding": sharding.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_decontamination": decontaminate.query,
+    "op10_toxicity": toxicity.query,
 }
 
 #: Operators without SQL are tested against brute force, exact round trips or held-out rows in tests/llm.
