@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, exact_dedup, sharding, toxicity
+from folioscope.llm import decontaminate, exact_dedup, language, sharding, toxicity
 
 QUERIES = {
+    "op1_language_id": language.query,
     "op3_sharding": sharding.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_decontamination": decontaminate.query,
