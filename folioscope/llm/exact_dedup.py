@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ascii_lower, documents
+from folioscope.llm.common import ascii_lower, documents, stored
 
 #: A cut lies between a word that ends in o or u and one that starts with an or en: about one in 900 characters.
 CUT = r"(?<=[ou][ \n])(?=[ae]n)"
@@ -61,7 +61,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", bits:
     else:
         docs = docs.withColumn("marks", F.lit(None).cast("string"))
     key = ["n_bytes", "recipe", "marks"]
-    docs = docs.withColumn("marks", F.coalesce("marks", F.lit("")))
+    docs = stored(docs.withColumn("marks", F.coalesce("marks", F.lit(""))), "recipes")  # two readers, one pass over the texts
     groups = docs.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return docs.join(groups, key).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256",
