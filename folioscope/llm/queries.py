@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, exact_dedup, language, sharding, toxicity
+from folioscope.llm import decontaminate, exact_dedup, language, near_dup, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language.query,
     "op3_sharding": sharding.query,
+    "op4_ngram_jaccard": near_dup.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_decontamination": decontaminate.query,
     "op10_toxicity": toxicity.query,
