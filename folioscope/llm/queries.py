@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, exact_dedup, language, near_dup, sharding, toxicity
+from folioscope.llm import decontaminate, exact_dedup, language, near_dup, repeats, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_ngram_jaccard": near_dup.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_decontamination": decontaminate.query,
+    "op9_suffix_dedup": repeats.query,
     "op10_toxicity": toxicity.query,
 }
 
