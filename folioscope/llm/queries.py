@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, exact_dedup, language, near_dup, repeats, sharding, toxicity
+from folioscope.llm import decontaminate, exact_dedup, language, language_model, near_dup, repeats, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language.query,
     "op3_sharding": sharding.query,
     "op4_ngram_jaccard": near_dup.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_lm_scoring": language_model.query,
     "op7_decontamination": decontaminate.query,
     "op9_suffix_dedup": repeats.query,
     "op10_toxicity": toxicity.query,
