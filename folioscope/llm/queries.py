@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, exact_dedup, language, language_model, near_dup, repeats, sharding, toxicity
+from folioscope.llm import decontaminate, exact_dedup, language, language_model, near_dup, pii, repeats, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
     "op6_lm_scoring": language_model.query,
     "op7_decontamination": decontaminate.query,
+    "op8_pii": pii.query,
     "op9_suffix_dedup": repeats.query,
     "op10_toxicity": toxicity.query,
 }
