@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioscope.llm import decontaminate, exact_dedup, language, language_model, near_dup, pii, repeats, sharding, toxicity
+from folioscope.llm import decontaminate, exact_dedup, language, language_model, mixing, near_dup, pii, repeats, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language.query,
+    "op2_mixing": mixing.query,
     "op3_sharding": sharding.query,
     "op4_ngram_jaccard": near_dup.query,
     "op5_exact_dedup": exact_dedup.query,
