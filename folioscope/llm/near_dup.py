@@ -7,8 +7,9 @@ from all documents, and the FREQUENT most frequent are kept. If two sets of size
 prefixes of n - ceil(0.8 n) + l shingles share l. The prefix is lengthened, and l raised, while the estimated
 number of candidates (the frequencies in the prefix over l) falls by more than the longer prefix costs.
 
-Prefix shingles are shuffled and pairs that share one are counted, once for each shared shingle: a pair whose count,
-with all that may follow the prefixes, can't reach the threshold is no candidate. Shingles that more than HOT classes
+Prefix shingles are shuffled with their places in their sets. For a pair of sets both prefixes can be shorter than
+for the worst partner, as the least intersection follows from the two sizes; a pair is counted once for each shingle
+that both have within these shorter prefixes, and is a candidate only if it has l of them. Shingles that more than HOT classes
 have in their prefixes don't make pairs at first: each class is compared with the one leader of the shingle, the class
 with the largest part of frequent shingles. Every class is then verified, by its full sets, against its best
 partner, and linked classes are joined. Only then come the pairs left between different components, hot shingles
@@ -139,7 +140,7 @@ def frequent(texts: DataFrame) -> Order:
 
 
 def prefixes(texts: DataFrame, order: Order) -> DataFrame:
-    """token, cls, n, p (prefix length), ell, common (frequent part) for every prefix shingle of every class, once a task."""
+    """token, cls and meta (from high to low bits: n in 26, place in 24, ell in 5, common in 8) of every prefix shingle of every class, once a task."""
     ready = texts.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
@@ -150,7 +151,7 @@ def prefixes(texts: DataFrame, order: Order) -> DataFrame:
                 t, ell, common = ready.value.prefix(x)
                 token.append(t)
                 cls.append(np.full(len(t), c, np.int64))
-                meta.append(np.full(len(t), ((len(x) * 32 + ell) << 8) | common, np.int64))
+                meta.append((np.int64(len(x)) << 37) | (np.arange(len(t)) << 13) | (ell << 8) | common)
             if token:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(meta))], ["token", "cls", "meta"])
 
@@ -158,15 +159,11 @@ def prefixes(texts: DataFrame, order: Order) -> DataFrame:
         return texts.mapInArrow(run, "token long, cls long, meta long")
 
 
-def rooms(x: str, y: str) -> Column:
-    """How many shingles two classes must share in their prefixes, given all that may follow them."""
-    after = F.greatest(F.col(f"{x}.n") - F.col(f"{x}.p"), F.col(f"{y}.n") - F.col(f"{y}.p"))
-    return F.greatest(needed(F.col(f"{x}.n"), F.col(f"{y}.n")) - after, F.least(F.col(f"{x}.ell"), F.col(f"{y}.ell")))
-
-
-def sizes_fit(x: str, y: str) -> Column:
+def within(x: str, y: str) -> Column:
+    """Whether a shared shingle stands in the prefixes that this pair needs, and their sizes allow a link."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    room = F.least(f"{x}.ell", f"{y}.ell") - needed(n, m)
+    return (F.col(f"{x}.pos") < n + room) & (F.col(f"{y}.pos") < m + room) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -224,21 +221,26 @@ def links(df: DataFrame, held: DataFrame, id_col: str, text: str) -> tuple[DataF
     order = frequent(words)
     rows = prefixes(words, order)
     # a class that several tasks saw has the same rows from each; dealt by shingle, all that follows needs no other shuffle
-    unpacked = rows.repartition("token").select("token", "cls", F.shiftright("meta", 13).alias("n"), F.shiftright("meta", 8).bitwiseAND(F.lit(31)).alias("ell"), F.col("meta").bitwiseAND(F.lit(255)).alias("common"))
-    several = unpacked.groupBy("token", "cls").agg(F.max("n").alias("n"), F.max("ell").alias("ell"), F.max("common").alias("common"))
+    unpacked = rows.repartition("token").select("token", "cls", F.shiftright("meta", 37).alias("n"), F.shiftright("meta", 13).bitwiseAND(F.lit((1 << 24) - 1)).alias("pos"), F.shiftright("meta", 8).bitwiseAND(F.lit(31)).alias("ell"), F.col("meta").bitwiseAND(F.lit(255)).alias("common"))
+    several = unpacked.groupBy("token", "cls").agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.max("ell").alias("ell"), F.max("common").alias("common"))
     group = Window.partitionBy("token")
-    several = several.withColumn("m", F.count("*").over(group)).filter("m > 1").withColumn("p", F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + F.col("ell")).withColumn("leader", F.max(F.struct("common", "n", "cls")).over(group)["cls"])
+    several = several.withColumn("m", F.count("*").over(group)).filter("m > 1").withColumn("leader", F.max(F.struct("common", "n", "cls")).over(group)["cls"])
     index = stored(several, "prefixes")
     release(spark)
-    traits = ["n", "p", "ell"]
     hot = index.filter(F.col("m") > HOT)
-    n_hot = hot.groupBy("cls").agg(F.count("*").alias("h"))
-    facts = stored(index.groupBy("cls").agg(*[F.max(c).alias(c) for c in traits]).join(n_hot, "cls", "left").fillna(0, ["h"]), "class-facts")
-    few = index.filter(F.col("m") <= HOT).select("token", "cls", *traits)
-    pairs = few.alias("x").join(few.alias("y"), "token").filter((F.col("x.cls") < F.col("y.cls")) & sizes_fit("x", "y"))
-    counted = pairs.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.count("*").alias("s"), F.max(rooms("x", "y")).alias("room"))
-    counted = counted.join(facts.select(F.col("cls").alias("a"), F.col("h").alias("ha")), "a").join(facts.select(F.col("cls").alias("b"), F.col("h").alias("hb")), "b")
-    near = stored(counted.filter(F.col("s") + F.least("ha", "hb") >= F.col("room")).select("a", "b", "s"), "candidates")
+    facts = stored(index.groupBy("cls").agg(F.count_if(F.col("m") > HOT).alias("h"), F.count_if(F.col("m") <= HOT).alias("f")), "class-facts")
+    few = index.filter(F.col("m") <= HOT).select("token", "cls", "n", "pos", "ell")
+
+    def candidates(pairs: DataFrame, other: str) -> DataFrame:
+        """a, b, s: the pairs that share l shingles, given how many of the other sort they can share at most."""
+        counted = pairs.groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).agg(F.count("*").alias("s"), F.max(F.least("x.ell", "y.ell")).alias("ell"))
+        for e in "ab":
+            counted = counted.join(facts.select(F.col("cls").alias(e), F.col(other).alias(f"{other}_{e}")), e)
+        return counted.filter(F.col("s") + F.least(f"{other}_a", f"{other}_b") >= F.col("ell")).select("a", "b", "s")
+
+    pairs = few.alias("x").join(few.alias("y"), "token").filter((F.col("x.cls") < F.col("y.cls")) & within("x", "y"))
+    near = stored(candidates(pairs, "h"), "candidates")
+    release(spark)
     led = hot.filter("cls != leader").groupBy("cls", "leader").agg(F.count("*").alias("s")).select(F.col("cls").alias("a"), F.col("leader").alias("b"), "s")
     either = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).unionByName(led)
     best = either.groupBy("a").agg(F.max(F.struct("s", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
@@ -252,13 +254,11 @@ def links(df: DataFrame, held: DataFrame, id_col: str, text: str) -> tuple[DataF
     left = near.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b", "left")
     left = left.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     # hot shingles: only rows outside a shingle's largest component meet the others
-    own = hot.select("token", "cls", *traits).join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    own = hot.select("token", "cls", "n", "pos", "ell").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     per = own.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("top"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
     own = own.join(per, "token")
-    cross = own.filter("comp != top").alias("x").join(own.alias("y"), "token").filter((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.cls") < F.col("y.cls"))) & sizes_fit("x", "y"))
-    cross = cross.groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).agg(F.count("*").alias("s"), F.max(rooms("x", "y")).alias("room"))
-    more = facts.select("cls", (F.col("p") - F.col("h")).alias("f"))
-    cross = cross.join(more.select(F.col("cls").alias("a"), F.col("f").alias("fa")), "a").join(more.select(F.col("cls").alias("b"), F.col("f").alias("fb")), "b").filter(F.col("s") + F.least("fa", "fb") >= F.col("room")).select("a", "b")
+    cross = own.filter("comp != top").alias("x").join(own.alias("y"), "token").filter((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.cls") < F.col("y.cls"))) & within("x", "y"))
+    cross = candidates(cross, "f").select("a", "b")
     rest = stored(left.unionByName(cross).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     if rest.count():
         late = stored(verified(rest, texts), "links")
