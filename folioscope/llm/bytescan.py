@@ -111,10 +111,11 @@ def scanned(df: DataFrame, text: str, keep: list[str], run, schema: str, gap: in
     One row out for each row in. Arrow batches pass through without pandas, so integers with nulls stay exact."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
     added = _parse_datatype_string(schema)
-    out = StructType([*[df.schema[c] for c in keep], *added.fields])
+    # inside, names are unique; clashing ones come back only at the end
+    out = StructType([*[StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(keep)], *[StructField(f"_a{i}", f.dataType) for i, f in enumerate(added.fields)]])
     types = to_arrow_schema(added)
 
     def work(batches):
@@ -124,4 +125,4 @@ def scanned(df: DataFrame, text: str, keep: list[str], run, schema: str, gap: in
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], *[pa.array(got[f.name], f.type) for f in types]], names=out.names)
 
     with batch_rows(df.sparkSession, rows):
-        return df.select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(work, out)
+        return df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text")).mapInArrow(work, out).toDF(*keep, *added.names)

@@ -110,8 +110,9 @@ def hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str
         "hits", F.array().cast("array<struct<first:long,last:long>>"),
         lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["last"] >= x["first"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, F.lit(-1))["first"].alias("first"), F.greatest(F.element_at(a, F.lit(-1))["last"], x["last"]).alias("last"))))).otherwise(F.concat(a, F.array(x))),
     )
-    united = united.withColumn("hits", merged)
-    return found[0].select("doc_id", "text_hash", "n_words").join(united, (found[0].doc_id.eqNullSafe(united.doc_id)) & (found[0].text_hash == united.text_hash) & (found[0].n_words == united.n_words)).select(found[0].doc_id, found[0].n_words, united.hits, united["items"], found[0].text_hash)
+    united = united.withColumn("hits", merged).alias("u")
+    one = found[0].select("doc_id", "text_hash", "n_words").alias("o")
+    return one.join(united, F.col("o.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("o.text_hash") == F.col("u.text_hash"))).select("o.doc_id", "o.text_hash", "o.n_words", "u.hits", "u.items")
 
 
 def report(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -129,15 +129,15 @@ def doubled(docs: DataFrame) -> DataFrame:
 def covers(docs: DataFrame) -> DataFrame:
     """doc, lo, hi: bytes that repeat earlier ones; hi may lie past the end of a text. docs: doc, text."""
     spark = docs.sparkSession
-    same = Window.partitionBy("rank").orderBy("around", "doc", "at")
-    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = ranked(docs).withColumn("again", F.coalesce(F.lag("around").over(same) == F.col("around"), F.lit(False)))
-    first = first.withColumn("open", F.first("around").over(whole) != F.last("around").over(whole)).filter("again or open")
+    # equal (doc, at) come from repeated rows and share a place in the order
+    whole = Window.partitionBy("rank").orderBy("around", "doc", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = ranked(docs).withColumn("open", F.first("around").over(whole) != F.last("around").over(whole))
+    first = first.withColumn("again", F.rank().over(Window.partitionBy("rank", "around").orderBy("doc", "at")) > 1).filter("again or open")
     first = stored(first.select("doc", "at", "again"), "ranked")
     release(spark)
     opened = first.filter("not again").groupBy("doc").agg(F.collect_list("at").alias("open"))
     windows = doubled(docs.join(opened.hint("shuffle_hash"), "doc").select("doc", "text", "open"))
-    later = windows.withColumn("again", F.lag("at").over(Window.partitionBy("rank").orderBy("doc", "at")).isNotNull()).filter("again")
+    later = windows.withColumn("again", F.rank().over(Window.partitionBy("rank").orderBy("doc", "at")) > 1).filter("again")
     later = stored(later.select("doc", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")), "doubled")
     release(spark)
     digests = docs.filter(F.octet_length("text") >= LENGTH).select("doc", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("n"))

@@ -202,6 +202,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, ["doc_id"]).select("doc_id", F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
-def drop_toxic(df: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
-    """df without the documents that score `at` or more."""
-    return score(df, model, df.columns).filter(F.col("score") < at).select(*df.columns)
+def drop_toxic(df: DataFrame, model: Model, at: float = 0.5, text: str = "text") -> DataFrame:
+    """df without the documents that score `at` or more, whatever its columns are called."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = score(plain, model, plain.columns, f"c{df.columns.index(text)}")
+    return out.filter(F.col("score") < at).select(*plain.columns).toDF(*df.columns)
