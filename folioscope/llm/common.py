@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -66,8 +67,10 @@ def discard(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs now rather than at the next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first collection frees what the second one's references hang on
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 @contextlib.contextmanager
