@@ -16,7 +16,7 @@ partner, and linked classes are joined. Only then come the pairs left between di
 included; all of them are verified, so no link is lost, and large groups of near copies are never paired off.
 
 Null texts and texts without words have empty sets, which are linked with nothing: each row is its own component.
-Rows that share a doc_id are one vertex. Null ids are vertices that no link reaches (component null).
+A doc_id names one text; rows that share it are one vertex. Null ids are vertices that no link reaches (component null).
 """
 
 from __future__ import annotations
@@ -166,10 +166,12 @@ def within(x: str, y: str) -> Column:
     return (F.col(f"{x}.pos") < n + room) & (F.col(f"{y}.pos") < m + room) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The linked ones of pairs (a, b) of classes; texts: cls, text."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls"))
-    both = ends.join(texts, "cls").groupBy("a", "b").agg(F.min(F.when(F.col("cls") == F.col("a"), F.col("text"))).alias("x"), F.min(F.when(F.col("cls") == F.col("b"), F.col("text"))).alias("y"))
+def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
+    """The linked ones of pairs (a, b) of classes. first: cls and the doc_id whose text stands for it; docs: doc_id, text.
+
+    The ends of the pairs go to the texts, so texts move once and only those needed go on to their pairs."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls")).join(first, "cls")
+    both = docs.join(ends.hint("shuffle_hash"), "doc_id").groupBy("a", "b").agg(F.min(F.when(F.col("cls") == F.col("a"), F.col("text"))).alias("x"), F.min(F.when(F.col("cls") == F.col("b"), F.col("text"))).alias("y"))
 
     def run(batches):
         for b in batches:
@@ -245,23 +247,25 @@ def links(df: DataFrame, held: DataFrame, id_col: str, text: str) -> tuple[DataF
     either = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).unionByName(led)
     best = either.groupBy("a").agg(F.max(F.struct("s", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     first = held.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    texts = first.join(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "doc_id").select("cls", "text")
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     tried = stored(best, "tried")
-    found = stored(verified(tried, texts), "links")
+    found = stored(verified(tried, first, docs), "links")
     release(spark)
     comp = components(found)
     named = lambda e: F.coalesce(F.col(f"{e}.comp"), F.col(f"{e}.cls"))
     left = near.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b", "left")
     left = left.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    # hot shingles: only rows outside a shingle's largest component meet the others
-    own = hot.select("token", "cls", "n", "pos", "ell").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    # Hot shingles: only rows outside a shingle's largest component meet the others. A pair that shares no other prefix
+    # shingle has none in common among those that stand before a hot one and are not hot; more than n - needed can't be missed.
+    own = hot.withColumn("missed", F.col("pos") - F.row_number().over(Window.partitionBy("cls").orderBy("pos")) + 1)
+    own = own.select("token", "cls", "n", "pos", "ell", "missed").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     per = own.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("top"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
     own = own.join(per, "token")
-    cross = own.filter("comp != top").alias("x").join(own.alias("y"), "token").filter((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.cls") < F.col("y.cls"))) & within("x", "y"))
+    cross = own.filter("comp != top").alias("x").join(own.alias("y"), "token").filter((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.top")) | (F.col("x.cls") < F.col("y.cls"))) & within("x", "y") & (F.col("x.missed") <= F.col("x.n") - needed(F.col("x.n"), F.col("y.n"))) & (F.col("y.missed") <= F.col("y.n") - needed(F.col("x.n"), F.col("y.n"))))
     cross = candidates(cross, "f").select("a", "b")
     rest = stored(left.unionByName(cross).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     if rest.count():
-        late = stored(verified(rest, texts), "links")
+        late = stored(verified(rest, first, docs), "links")
         both = found.unionByName(late)
         comp_all = components(both)
         discard(comp)
