@@ -61,7 +61,7 @@ def grown_band(rows: DataFrame, page: list[str], height: str = "height_pt") -> D
 
 def header_bottom(pages_: DataFrame, bands: DataFrame, page: list[str]) -> DataFrame:
     """threshold_pt of every page; a fifth of its height where no header was found."""
-    return pages_.join(bands, page, "left").select(*page, F.coalesce("threshold_pt", F.col("height_pt") * config.HEADER_FALLBACK).alias("threshold_pt"), F.col("threshold_pt").isNotNull().alias("detected"))
+    return pages_.join(bands, page, "left").select(*page, F.coalesce(F.least("threshold_pt", "height_pt"), F.col("height_pt") * config.HEADER_FALLBACK).alias("threshold_pt"), F.col("threshold_pt").isNotNull().alias("detected"))
 
 
 def values_for(spans: DataFrame, page: list[str], label: str, shape: str | None = None) -> DataFrame:
