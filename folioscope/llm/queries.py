@@ -19,6 +19,7 @@ QUERIES = {
 
 #: Operators without SQL are tested against brute force, exact round trips or held-out rows in tests/llm.
 ORACLE = {
+    "op4_ngram_jaccard": near_dup.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_decontamination": decontaminate.SQL,
 }
