@@ -69,7 +69,7 @@ def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * powers(INVERSE, len(sums))[start] + (end - start).astype(U) * U(BASE))
 
 
-def blocks(texts, gap: int = 1, fold: bool = True, limit: int = 3 << 20) -> Iterator[Block]:
+def blocks(texts, gap: int = 1, fold: bool = True, limit: int = 1 << 20) -> Iterator[Block]:
     """The texts in blocks of about limit bytes; a longer text is a block of its own. None counts as empty."""
     lo, held, size = 0, [], 0
     for i, t in enumerate(texts):

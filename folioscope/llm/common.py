@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import os
 import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,7 +77,12 @@ def release(spark: SparkSession) -> None:
 
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows of an Arrow batch while plans are built and run inside; bounds a Python worker's memory."""
+    """Rows of an Arrow batch while plans are built and run inside; bounds a Python worker's memory.
+
+    Workers also get this package's folder on their path, for sessions that were started elsewhere."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(rows))
