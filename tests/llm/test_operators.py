@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -270,3 +271,27 @@ def test_mixing(spark, empty):
     assert more.columns == df.columns and more.select("doc_id").distinct().count() == 202
     assert mixing.mixed(empty, c, {"a": 1.0}).count() == 0
     assert mixing.mixed(df, mixing.fit_classifier(df, labels.limit(0)), {"all": 1.0}).count() == 202
+
+
+def test_mixing_targets_ask_for_work(spark):
+    """The registered targets are not the corpus's own mix: the query drops and repeats, and the totals come to the targets."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    c = mixing.fit_classifier(docs, mixing.qualities(spark.read.parquet(f"{sf}/labels.parquet")))
+    for floor, grow in ((0.0, False), (1.0, True)):
+        out = mixing.mixed(docs, c, mixing.TARGETS, floor, grow).cache()
+        for r in mixing.achieved(out, c.domains, mixing.TARGETS, grow):
+            assert abs(r["expected"] - r["target"]) < 0.002 * r["target"] and abs(r["kept"] - r["target"]) < 0.1 * r["target"]
+            assert r["domain"] == "high" or r["target"] > 1.5 * r["before"]
+        assert out.filter("copies = 0").isEmpty() == grow and not out.filter("copies > 1").isEmpty()
+        out.unpersist()
+
+
+def test_mixing_rates_stop_at_zero(spark):
+    """A target of nothing drives pure documents to a rate of zero, not below."""
+    df = spark.createDataFrame([([1000, 0], 50), ([500, 500], 30), ([0, 1000], 20)], "_p array<int>, _t int")
+    steps = mixing.fit_rates(df, ["a", "b"], {"a": 1.0})
+    rates = {tuple(r._p): r.rate for r in df.withColumn("rate", mixing.rate(steps, 0.0)).collect()}
+    assert rates[0, 1000] == 0 and rates[500, 500] < rates[1000, 0]
