@@ -3,8 +3,8 @@
 Tokens are the overlapping GRAM-byte strings of a text after lower-casing A-Z (hashed into BUCKETS), so a toxic word
 is found in whatever form it stands. A token's weight is the log-odds, by the texts that have it, between toxic and clean labelled texts under a
 Dirichlet prior in proportion to all labelled texts, drawn to zero by DOUBT standard errors, less a step that makes
-clean text lose. One linear scan then finds every excursion of the running sum above its lowest point so far: these
-are the passages. Scores of best passages in clean texts follow an extreme-value (Gumbel) law in the logarithm of
+clean text lose. One linear scan (Ruzzo and Tompa) then finds all maximal scoring segments: the best one, the best ones
+of what lies before and after it, and so on. These are the passages. Scores of best passages in clean texts follow an extreme-value (Gumbel) law in the logarithm of
 the text's length; a passage's surprise is -log of its probability under that law, passages beyond SIGNIFICANT are
 kept, and a logistic curve over the best and the sum of the significant ones gives the document's score.
 
@@ -47,12 +47,28 @@ def inner(block: Block, pad: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return block.begin - pad, np.maximum(block.end + pad - GRAM + 1, block.begin - pad)
 
 
+def maximal(start: list[int], stop: list[int], low: list[float], high: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal segments: start, stop and score. Given are the runs of positive weights, in order, and the running sum before and after each."""
+    out: list[tuple[int, int, float, float]] = []
+    open_: list[int] = []  # those of out that may still grow to the right; their low sums ascend
+    for s, e, l, r in zip(start, stop, low, high, strict=True):
+        while open_ and out[open_[-1]][2] >= l:
+            open_.pop()
+        while open_ and out[open_[-1]][3] < r:
+            i = open_.pop()
+            s, l = out[i][0], out[i][2]
+            del out[i:]
+        open_.append(len(out))
+        out.append((s, e, l, r))
+    return [(s, e, r - l) for s, e, l, r in out]
+
+
 class Model:
     def __init__(self, weights: np.ndarray, law: tuple[float, float] = (0.0, 1.0), curve: tuple[float, ...] = (0.0, 0.0, 0.0)):
         self.weights, self.law, self.curve = weights, law, curve
 
     def passages(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every excursion: start and end (bytes of the block), score, and the text it lies in."""
+        """Every maximal segment: its first and one-past-last token, score, and the text it lies in."""
         g = grams(block)
         lo, hi = inner(block)
         w = np.full(len(g) + 1, 0.0)
@@ -62,13 +78,11 @@ class Model:
         np.add.at(outside, hi, -1)
         w[np.cumsum(outside[:-1]) == 0] = -FAR
         c = np.concatenate([[0.0], np.cumsum(w)])
-        low = np.minimum.accumulate(c)
-        above = c - low
-        start = np.flatnonzero((above[1:] > 1e-6) & (above[:-1] <= 1e-6))  # an excursion begins after this place
-        if not len(start):
-            return start, start, np.zeros(0), start
-        peak = np.maximum.reduceat(above, start)
-        return start, np.append(start[1:], len(c) - 1), peak, np.searchsorted(lo, start, "right") - 1
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (w > 0).astype(np.int8), [0]])))
+        begin, end = edge[::2], edge[1::2]
+        found = maximal(begin.tolist(), end.tolist(), c[begin].tolist(), c[end].tolist())
+        start, stop = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+        return start, stop, np.array([f[2] for f in found], np.float64), np.searchsorted(lo, start, "right") - 1
 
     def surprise(self, peak: np.ndarray, length: np.ndarray) -> np.ndarray:
         """-log of the probability that clean text of this length has a passage as good."""
@@ -176,21 +190,14 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> D
         best, total, (start, stop, peak, of, s) = ready.value.features(block)
         out = [[] for _ in range(block.n)]
         for i in np.flatnonzero(s >= SIGNIFICANT):
-            d, w = of[i], ready.value.weights[grams_at(block, start[i], stop[i])]
-            n = int(np.argmax(np.cumsum(w))) + GRAM
+            d = of[i]
             at = max(int(start[i] - block.begin[d]), 0)
-            out[d].append({"start": at, "length": int(min(start[i] + n, block.end[d]) - block.begin[d]) - at, "surprise": float(s[i])})
+            out[d].append({"start": at, "length": int(min(stop[i] - 1 + GRAM, block.end[d]) - block.begin[d]) - at, "surprise": float(s[i])})
         return {"score": ready.value.score(best, total), "passages": out}
 
     return scanned(df, text, keep, run, "score double, passages array<struct<start:long,length:long,surprise:double>>", GRAM + 3)
 
 
-def grams_at(block: Block, start: int, stop: int) -> np.ndarray:
-    part = Block(0, [], 0)
-    part.bytes = block.bytes[start : min(stop + GRAM, len(block.bytes))]
-    return grams(part)
-
-
 def learners(id_col: str = "doc_id") -> Column:
     """The rows that labels may be learned from."""
     return fold_of(F.col(id_col), 5) != 0

@@ -295,3 +295,39 @@ def test_mixing_rates_stop_at_zero(spark):
     steps = mixing.fit_rates(df, ["a", "b"], {"a": 1.0})
     rates = {tuple(r._p): r.rate for r in df.withColumn("rate", mixing.rate(steps, 0.0)).collect()}
     assert rates[0, 1000] == 0 and rates[500, 500] < rates[1000, 0]
+
+
+def segments(w, lo, hi):
+    """All maximal segments by their definition: the best one (the shortest of equals), then those before and after it."""
+    c = np.concatenate([[0.0], np.cumsum(w)])
+    best = max(((c[e] - c[s], s - e, -s, e) for s in range(lo, hi) for e in range(s + 1, hi + 1)), default=(0, 0, 0, 0))
+    if best[0] <= 0:
+        return []
+    s, e = -best[2], best[3]
+    return [*segments(w, lo, s), (s, e, best[0]), *segments(w, e, hi)]
+
+
+def test_all_maximal_segments_are_passages():
+    rng = np.random.default_rng(1)
+    block = next(iter(toxicity.blocks(["".join(map(chr, rng.integers(97, 101, 60))) for _ in range(12)], toxicity.GRAM + 3)))
+    g, (lo, hi) = toxicity.grams(block), toxicity.inner(block)
+    for shift in (-0.8, -0.2, 0.2):
+        model = toxicity.Model(rng.normal(shift, 1, toxicity.BUCKETS))
+        start, stop, peak, of = model.passages(block)
+        for d in range(block.n):
+            want = [(s + lo[d], e + lo[d], x) for s, e, x in segments(model.weights[g[lo[d] : hi[d]]], 0, hi[d] - lo[d])]
+            got = [(s, e, x) for s, e, x, o in zip(start, stop, peak, of, strict=True) if o == d]
+            assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-3)
+
+
+def test_a_weaker_passage_after_a_strong_one_is_found():
+    text = "x" * 40 + "y" * 300 + "z" * 20
+    block = next(iter(toxicity.blocks([text], toxicity.GRAM + 3)))
+    weights = np.full(toxicity.BUCKETS, -1.5)
+    for c, x in (("x", 27.0), ("z", 25.0)):
+        weights[toxicity.grams(next(iter(toxicity.blocks([c * 5], 0))))] = x
+    model = toxicity.Model(weights, (1.0, 0.0))
+    _, _, peak, _ = model.passages(block)
+    assert np.allclose(peak, [36 * 27, 16 * 25])
+    _, total, (*_, s) = model.features(block)
+    assert (s >= toxicity.SIGNIFICANT).sum() == 2 and np.allclose(total, s.sum())
