@@ -12,8 +12,9 @@ its earlier occurrence. And each ranked position carries the name of its whole s
 surroundings is a repeat in all its windows and goes no further, so only windows at the edges of repeats are ranked
 at full length.
 
-Order is by doc_id, then offset; a null doc_id comes first. Null text is empty. doc_id names a text: rows that share
-both are one document with one result each. Texts under LENGTH bytes lose nothing.
+Order is by doc_id, then offset; a null doc_id comes first. Null text is empty. A document is a doc_id, null or not,
+with a text (its 64-bit hash): rows that share both are one document with one result each, and texts that share an id
+are documents of their own, in the order of their hashes. Texts under LENGTH bytes lose nothing.
 """
 
 from __future__ import annotations
@@ -86,64 +87,64 @@ class Ranks:
 
 
 def ranked(docs: DataFrame) -> DataFrame:
-    """rank, around, doc, at: the chosen positions of every text, of copies in one task only the earliest."""
+    """rank, around, doc, key, at: the chosen positions of every text, of copies in one task only the earliest."""
 
     def run(batches):
         seen: dict[bytes, int] = {}
         for b in batches:
-            ids, texts = np.array(b.column(0).to_pylist(), np.int64), b.column(1).to_pylist()
+            ids, keys, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
             for i, t in enumerate(texts):
-                key = hashlib.blake2b((t or "").encode(), digest_size=16).digest()
-                if seen.get(key, 1 << 63) <= ids[i]:
+                digest = hashlib.blake2b((t or "").encode(), digest_size=16).digest()
+                if seen.get(digest, 1 << 63) <= ids[i]:
                     texts[i] = None
                 else:
-                    seen[key] = int(ids[i])
+                    seen[digest] = int(ids[i])
             for block in blocks(texts, 1, False):
                 r = Ranks(block)
                 at = r.chosen()
                 of = np.searchsorted(block.begin, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(r.rank[at].view(np.int64)), pa.array(r.around(at, of).view(np.int64)), pa.array(ids[block.lo + of]), pa.array((at - block.begin[of]).astype(np.int32))], ["rank", "around", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(r.rank[at].view(np.int64)), pa.array(r.around(at, of).view(np.int64)), pa.array(ids[block.lo + of]), pa.array(keys[block.lo + of]), pa.array((at - block.begin[of]).astype(np.int32))], ["rank", "around", "doc", "key", "at"])
 
     with batch_rows(docs.sparkSession, 4000):
-        return docs.mapInArrow(run, "rank long, around long, doc long, at int")
+        return docs.mapInArrow(run, "rank long, around long, doc long, key long, at int")
 
 
 def doubled(docs: DataFrame) -> DataFrame:
-    """rank, doc, at: at LENGTH bytes, for the windows of the positions in the column `open`."""
+    """rank, doc, key, at: at LENGTH bytes, for the windows of the positions in the column `open`."""
 
     def run(batches):
         for b in batches:
-            ids, opened = np.array(b.column(0).to_pylist(), np.int64), b.column(2)
-            for block in blocks(b.column(1).to_pylist(), 1, False):
+            ids, keys, opened = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+            for block in blocks(b.column(2).to_pylist(), 1, False):
                 r = Ranks(block)
                 part = opened.slice(block.lo, block.n)
                 counts = np.diff(part.offsets.to_numpy())
                 at = r.windows_of(np.sort(part.flatten().to_numpy() + np.repeat(block.begin, counts)))
                 of = np.searchsorted(block.begin, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(r.doubled(at).view(np.int64)), pa.array(ids[block.lo + of]), pa.array((at - block.begin[of]).astype(np.int32))], ["rank", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(r.doubled(at).view(np.int64)), pa.array(ids[block.lo + of]), pa.array(keys[block.lo + of]), pa.array((at - block.begin[of]).astype(np.int32))], ["rank", "doc", "key", "at"])
 
     with batch_rows(docs.sparkSession, 2000):
-        return docs.mapInArrow(run, "rank long, doc long, at int")
+        return docs.mapInArrow(run, "rank long, doc long, key long, at int")
 
 
 def covers(docs: DataFrame) -> DataFrame:
-    """doc, lo, hi: bytes that repeat earlier ones; hi may lie past the end of a text. docs: doc, text."""
+    """doc, key, lo, hi: bytes that repeat earlier ones; hi may lie past the end of a text. docs: doc, key, text."""
     spark = docs.sparkSession
-    # equal (doc, at) come from repeated rows and share a place in the order
-    whole = Window.partitionBy("rank").orderBy("around", "doc", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # equal (doc, key, at) come from repeated rows and share a place in the order
+    whole = Window.partitionBy("rank").orderBy("around", "doc", "key", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = ranked(docs).withColumn("open", F.first("around").over(whole) != F.last("around").over(whole))
-    first = first.withColumn("again", F.rank().over(Window.partitionBy("rank", "around").orderBy("doc", "at")) > 1).filter("again or open")
-    first = stored(first.select("doc", "at", "again"), "ranked")
+    first = first.withColumn("again", F.rank().over(Window.partitionBy("rank", "around").orderBy("doc", "key", "at")) > 1).filter("again or open")
+    first = stored(first.select("doc", "key", "at", "again"), "ranked")
     release(spark)
-    opened = first.filter("not again").groupBy("doc").agg(F.collect_list("at").alias("open"))
-    windows = doubled(docs.join(opened.hint("shuffle_hash"), "doc").select("doc", "text", "open"))
-    later = windows.withColumn("again", F.rank().over(Window.partitionBy("rank").orderBy("doc", "at")) > 1).filter("again")
-    later = stored(later.select("doc", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")), "doubled")
+    opened = first.filter("not again").groupBy("doc", "key").agg(F.collect_list("at").alias("open"))
+    windows = doubled(docs.join(opened.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "open"))
+    later = windows.withColumn("again", F.rank().over(Window.partitionBy("rank").orderBy("doc", "key", "at")) > 1).filter("again")
+    later = stored(later.select("doc", "key", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")), "doubled")
     release(spark)
-    digests = docs.filter(F.octet_length("text") >= LENGTH).select("doc", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("n"))
+    digests = docs.filter(F.octet_length("text") >= LENGTH).select("doc", "key", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("n"))
     copies = digests.join(digests.groupBy("digest", "n").agg(F.min("doc").alias("least")), ["digest", "n"]).filter("doc > least")
-    copies = stored(copies.select("doc", F.lit(0).alias("lo"), F.col("n").alias("hi")), "copies")
-    again = first.filter("again").select("doc", F.greatest(F.col("at") - HALF, F.lit(0)).alias("lo"), (F.col("at") + LENGTH).alias("hi"))
+    copies = stored(copies.select("doc", "key", F.lit(0).alias("lo"), F.col("n").alias("hi")), "copies")
+    again = first.filter("again").select("doc", "key", F.greatest(F.col("at") - HALF, F.lit(0)).alias("lo"), (F.col("at") + LENGTH).alias("hi"))
     return copies.unionByName(again).unionByName(later)
 
 
@@ -162,9 +163,9 @@ def cut_out(raw: bytes, lo, hi) -> tuple[int, list[tuple[int, int]]]:
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with texts also `kept`, the bytes that remain."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    some = covers(docs.select("doc", "text")).groupBy("doc").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    joined = docs.join(some.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "lo", "hi")
+    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    some = covers(docs.select("doc", "key", "text")).groupBy("doc", "key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    joined = docs.join(some.hint("shuffle_hash"), ["doc", "key"], "left").select("doc_id", "text", "lo", "hi")
 
     def run(batches):
         none = np.zeros(0, np.int64)

@@ -331,3 +331,25 @@ def test_a_weaker_passage_after_a_strong_one_is_found():
     assert np.allclose(peak, [36 * 27, 16 * 25])
     _, total, (*_, s) = model.features(block)
     assert (s >= toxicity.SIGNIFICANT).sum() == 2 and np.allclose(total, s.sum())
+
+
+def test_repeats_of_texts_that_share_an_id(spark):
+    """Null ids and repeated ids name several texts; each loses only its own repeats."""
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = make(180)
+    some = [(None, make(400)), (None, make(50) + shared + make(90)), (None, make(300)), (None, make(20)), (None, None), (None, shared + make(5)), (7, make(70) + shared), (7, make(500)), (7, shared[:130] + make(300)), (8, shared), (9, make(260))]
+    some += [(None, some[0][1]), (9, some[0][1])]
+    df = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+    seen, want = {}, []
+    order = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().collect()
+    for i, t, h in sorted(order, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)):
+        b = (t or "").encode()
+        cover = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if seen.setdefault(b[p : p + 100], (i, h, p)) != (i, h, p):
+                cover[p : p + 100] = b"\1" * 100
+        want.append((i, len(b), sum(cover), len(re.findall(b"\1+", bytes(cover))), hashlib.sha256(bytes(x for x, c in zip(b, cover) if not c)).hexdigest()))
+    got = repeats.remove_repeats(df).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(set(map(tuple, got)), key=key) == sorted(want, key=key) and len(got) == len(some)
