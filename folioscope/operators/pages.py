@@ -77,12 +77,31 @@ def extents(boxes: DataFrame, page: list[str] = PAGE) -> DataFrame:
     return boxes.groupBy(*page).agg(*[geometry.mm(f(c)).alias(f"{c}_mm") for c, f in edges.items()])
 
 
+def item_folds(paths: DataFrame, header_bottom: Column, frame: DataFrame, page: list[str]) -> DataFrame:
+    """x (rounded) and part (true) of the items that can be fold lines: line segments and rectangles narrower than 3 pt.
+
+    They must be taller than the share of the frame's height and reach below the header."""
+    i = F.col("i")
+    items = paths.filter(F.col("y1") > header_bottom).select(*page, header_bottom.alias("bottom"), F.explode("items").alias("i")).join(frame, page)
+    line = i["op"] == "l"
+    left = F.when(line, F.least(i["x0"], i["x1"])).otherwise(i["x0"])
+    low = F.when(line, F.greatest(i["y0"], i["y1"])).otherwise(i["y1"])
+    tall = F.abs(i["y1"] - i["y0"]) > config.ZONE_FOLD * F.greatest("fh", F.lit(1.0))
+    return items.filter(i["op"].isin("l", "re") & (F.abs(i["x1"] - i["x0"]) < 3) & tall & (low > F.col("bottom"))).select(*page, F.bround(left).alias("x"), F.lit(True).alias("part"))
+
+
 def zones(paths: DataFrame, header_bottom: Column, page: list[str] = PAGE) -> DataFrame:
-    """Zones between tall narrow paths below the header: zone_no (of those kept), x0, x1. Only pages with two lines or more have any."""
+    """Zones between tall narrow paths below the header: zone_no (of those kept), x0, x1. Only pages with two lines or more have any.
+
+    Where whole paths give fewer than two lines and paths has `items`, their vertical segments and thin rectangles count too."""
     body = paths.filter(F.col("y0") >= header_bottom)
     frame = body.groupBy(*page).agg(F.min("x0").alias("fx0"), F.max("x1").alias("fx1"), (F.max("y1") - F.min("y0")).alias("fh"))
     tall = body.join(frame, page).filter((F.col("x1") - F.col("x0") < 3) & (F.col("y1") - F.col("y0") >= config.ZONE_FOLD * F.col("fh")))
-    lines = tall.groupBy(*page).agg(F.collect_set(F.bround("x0")).alias("xs")).filter(F.size("xs") >= 2)
+    found = tall.select(*page, F.bround("x0").alias("x"), F.lit(False).alias("part"))
+    if "items" in paths.columns:
+        found = found.unionByName(item_folds(paths, header_bottom, frame, page))
+    sets = found.groupBy(*page).agg(F.collect_set(F.when(~F.col("part"), F.col("x"))).alias("whole"), F.collect_set("x").alias("any"))
+    lines = sets.select(*page, F.when(F.size("whole") >= 2, F.col("whole")).otherwise(F.col("any")).alias("xs")).filter(F.size("xs") >= 2)
     cuts = lines.join(frame, page).select(*page, F.array_sort(F.array_distinct(F.concat(F.array("fx0"), "xs", F.array("fx1")))).alias("c"))
     pairs = cuts.select(*page, F.posexplode(F.transform(F.slice("c", F.lit(1), F.size("c") - 1), lambda x, i: F.struct(x.alias("x0"), F.get(F.col("c"), i + 1).alias("x1")))).alias("i", "z"))
     kept = pairs.filter(F.col("z.x1") - F.col("z.x0") >= config.ZONE_MIN_PT)

@@ -21,7 +21,7 @@ def extract(layout: dict[str, DataFrame]) -> dict[str, DataFrame]:
     spans = spans.withColumns({"text": F.col("fix.text"), "repaired": F.col("fix.repaired"), "confidence": F.col("fix.confidence"), "size": geometry.snap_size(F.col("size"))}).drop("fix")
     spans = pages.routed(spans, F.col("threshold_pt"))
     below = layout["drawings"].join(bottom, KEY)
-    z = pages.zones(below.withColumn("y0", F.when(F.col("y0") >= F.col("threshold_pt"), F.col("y0"))), F.lit(float("-inf")), KEY)
+    z = pages.zones(below, F.col("threshold_pt"), KEY)
     frame = below.filter(F.col("y0") >= F.col("threshold_pt")).groupBy(*KEY).agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     spans = pages.line_spacing(pages.reading_order(pages.in_zones(spans, z.join(frame, KEY), KEY), KEY), KEY)
     facts = pages.section_counts(spans, KEY).join(pages.page_text(spans.filter("section = 'body'"), KEY), KEY, "left").join(bottom, KEY)

@@ -106,3 +106,12 @@ def test_parity(spark, name):
         return sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
     assert rows(got) == rows(want)
+
+
+def test_fold_lines_inside_a_compound_path(spark):
+    """One drawing holds the whole dieline; where whole paths give two lines, items add none."""
+    items = [("l", 10.0, 40.0, 10.4, 400.0), ("l", 120.2, 400.0, 120.2, 50.0), ("re", 250.0, 50.0, 252.0, 390.0), ("l", 300.0, 50.0, 300.0, 60.0), ("l", 60.0, 90.0, 200.0, 300.0), ("c", 180.0, 50.0, 180.0, 400.0), ("l", 330.0, 0.0, 330.0, 30.0)]
+    rows = [(1, 0.0, 40.0, 400.0, 400.0, items), (2, 0.0, 40.0, 400.0, 400.0, items), (2, 100.0, 50.0, 101.0, 390.0, None), (2, 200.0, 50.0, 201.0, 390.0, None), (3, 0.0, 40.0, 400.0, 400.0, None), (4, 0.0, 0.0, 400.0, 400.0, items)]
+    paths = spark.createDataFrame(rows, "page_no int, x0 double, y0 double, x1 double, y1 double, items array<struct<op:string,x0:double,y0:double,x1:double,y1:double>>")
+    got = sorted((r.page_no, r.zone_no, r.x0, r.x1) for r in pages.zones(paths, F.lit(35.0)).collect())
+    assert got == [(1, 0, 10.0, 120.0), (1, 1, 120.0, 250.0), (1, 2, 250.0, 400.0), (2, 0, 0.0, 100.0), (2, 1, 100.0, 200.0), (2, 2, 200.0, 400.0)]
