@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import FOLD, batch_rows
+from folioscope.llm.common import FOLD, find_code
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -105,10 +105,11 @@ NOT_SPACE = table(lambda b: not (b == 0x20 or 0x09 <= b <= 0x0D))
 ALNUM = table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 
-def scanned(df: DataFrame, text: str, keep: list[str], run, schema: str, gap: int = 1, fold: bool = True, rows: int = 4000) -> DataFrame:
+def scanned(df: DataFrame, text: str, keep: list[str], run, schema: str, gap: int = 1, fold: bool = True) -> DataFrame:
     """The columns keep of df, unchanged, and those of schema, which run(block) returns as a dict of arrays or lists.
 
-    One row out for each row in. Arrow batches pass through without pandas, so integers with nulls stay exact."""
+    One row out for each row in. Arrow batches pass through without pandas, so integers with nulls stay exact. A batch has
+    10,000 rows or 64 MB at most (spark.sql.execution.arrow.*), and within it texts are worked on in blocks of about 1 MB."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -124,5 +125,5 @@ def scanned(df: DataFrame, text: str, keep: list[str], run, schema: str, gap: in
                 got, part = run(block), b.slice(block.lo, block.n)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], *[pa.array(got[f.name], f.type) for f in types]], names=out.names)
 
-    with batch_rows(df.sparkSession, rows):
-        return df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text")).mapInArrow(work, out).toDF(*keep, *added.names)
+    find_code(df.sparkSession)
+    return df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text")).mapInArrow(work, out).toDF(*keep, *added.names)

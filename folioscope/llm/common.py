@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,24 +37,79 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Unset, it is a new local folder in local mode, where there is one machine only, and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        found = held or "file://" + tempfile.mkdtemp(prefix="corpus-shared-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="corpus-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+class Scope:
+    """What operators left behind while it was open: tables in the shared folder and broadcast values."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+        self.values: list[Broadcast] = []
+
+    def free(self) -> None:
+        discard(*self.tables)
+        for v in self.values:
+            v.destroy()
+        self.tables, self.values = [], []
+
+
+_scopes: list[Scope] = []
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Scope]:
+    """Collects what is stored and sent inside. The caller frees it once nothing that was returned is still to be read."""
+    own = Scope()
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.remove(own)
+
+
+def sent(spark: SparkSession, value) -> Broadcast:
+    """value as a broadcast variable of the open scope."""
+    out = spark.sparkContext.broadcast(value)
+    if _scopes:
+        _scopes[-1].values.append(out)
+    return out
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage ends there, and lost executors lose nothing."""
+    """df written as a table in the shared folder and read again: its lineage ends there, and lost executors lose nothing.
+
+    The shuffle files of the job that wrote it go when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _scopes:
+        _scopes[-1].tables.append(out)
     return out
 
 
@@ -67,26 +121,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs now rather than at the next collection."""
-    for _ in range(2):  # the first collection frees what the second one's references hang on
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
-@contextlib.contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows of an Arrow batch while plans are built and run inside; bounds a Python worker's memory.
-
-    Workers also get this package's folder on their path, for sessions that were started elsewhere."""
+def find_code(spark: SparkSession) -> None:
+    """Python workers get this package's folder on their path, for sessions that were started elsewhere."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1, ..., so that whatever they were called clashes with nothing."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -2,26 +2,30 @@
 windows, and verification of each hit word by word.
 
 A window is WINDOW consecutive words of an item after lower-casing A-Z (an item of fewer words is one window). The
-scan hashes all windows of a document at once, looks them up in a bit table and then in the set, and compares the
-words themselves. A benchmark larger than BROADCAST bytes is not broadcast at once: it is dealt into blocks below
-that size, the documents are scanned for each, and the hits are united.
+scan hashes all windows of a document at once, looks them up in a bit table and then in the sorted hashes, and compares
+the words themselves. What is broadcast is a few flat arrays: the words and 20 bytes for each window, at most 11 times
+the bytes of its texts. A benchmark of more than BROADCAST bytes is dealt into blocks of about that size, or of one
+item: one block after another is fetched, broadcast, scanned for and destroyed, and the hits are united.
 
-Null texts, in documents and benchmark, have no words. Repeated rows are judged alike, each by itself.
+Null texts, in documents and benchmark, have no words. Rows of a null or shared id are judged each by its own text, and
+repeated rows alike. Items that share an id are one item, and a null id is written `null`. Empty tables give no hits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.bytescan import ALNUM, Block, blocks, rolling, scanned, span
-from folioscope.llm.common import batch_rows, documents, table
+from folioscope.llm.bytescan import ALNUM, Block, U, blocks, rolling, scanned, span
+from folioscope.llm.common import documents, find_code, plain, sent, stored, table
 
 WINDOW = 10
-#: Most bytes of benchmark text in one broadcast.
-BROADCAST = 64 << 20
+#: Bytes of benchmark text in one broadcast, about.
+BROADCAST = 8 << 20
 BITS = 20
 SCHEMA = "n_words long, hits array<struct<first:long,last:long>>, items array<string>"
 
@@ -32,37 +36,56 @@ def words_of(block: Block):
 
 
 class Windows:
-    """The benchmark's windows: by length, hash to the items and words that have it."""
+    """The benchmark's windows: by length, their hashes in order, each with its item and first word. The words stand in one buffer."""
 
     def __init__(self, items: list[tuple[str, str]]):
-        self.by: dict[int, dict[int, dict[tuple, set]]] = {}
+        self.names = sorted({i for i, _ in items})
+        name = {n: k for k, n in enumerate(self.names)}
+        words, of = [], {}
+        size = 0
         for block in blocks([t for _, t in items]):
             starts, ends, first, h = words_of(block)
-            words = [block.bytes[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
             for i in range(block.n):
-                lo, hi = first[i], first[i + 1]
+                lo, hi = int(first[i]), int(first[i + 1])
                 if (n := min(WINDOW, hi - lo)) > 0:
-                    held = self.by.setdefault(int(n), {})
-                    for at, x in enumerate(rolling(h[lo:hi], n).tolist(), lo):
-                        held.setdefault(x, {}).setdefault(tuple(words[at : at + n]), set()).add(items[block.lo + i][0])
-        self.bits = {}
-        for n, held in self.by.items():
+                    r = rolling(h[lo:hi], n)
+                    of.setdefault(n, []).append((r, np.full(len(r), name[items[block.lo + i][0]], np.int32), np.arange(size + lo, size + lo + len(r))))
+            words += [block.bytes[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
+            size += len(starts)
+        self.text = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) if words else np.zeros(0, np.int64)
+        self.starts, self.ends = np.concatenate([[0], ends]).astype(np.int64), (ends - 1).astype(np.int64)
+        self.by, self.bits = {}, {}
+        for n, parts in of.items():
+            h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.by[n] = h[order], item[order], at[order]
             self.bits[n] = np.zeros(1 << BITS, bool)
-            self.bits[n][(np.array(list(held), np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)] = True
+            self.bits[n][(h >> U(64 - BITS)).astype(np.int64)] = True
+
+    def items_of(self, h: int, n: int, words: bytes) -> set[int]:
+        """The items that have this window."""
+        known, item, at = self.by[n]
+        lo, hi = np.searchsorted(known, U(h), "left"), np.searchsorted(known, U(h), "right")
+        return {int(item[k]) for k in range(lo, hi) if self.text[self.starts[at[k]] : self.ends[at[k] + n - 1]] == words}
 
     def scan(self, block: Block):
         """For each text of the block: number of words, runs of hit words, items; and where the words are."""
         starts, ends, first, h = words_of(block)
         delta, items = np.zeros(len(h) + 1, np.int64), [set() for _ in range(block.n)]
-        for n, held in self.by.items():
+        seen: dict[tuple, set] = {}
+        for n, (known, _, _) in self.by.items():
             r = rolling(h, n)
-            found = np.flatnonzero(self.bits[n][(r >> np.uint64(64 - BITS)).astype(np.int64)])
+            found = np.flatnonzero(self.bits[n][(r >> U(64 - BITS)).astype(np.int64)])
+            found = found[known[np.minimum(np.searchsorted(known, r[found]), len(known) - 1)] == r[found]]
             of = np.searchsorted(first, found, "right") - 1
             for at, d in zip(found.tolist(), of.tolist(), strict=True):
-                if at + n <= first[d + 1] and (same := held.get(int(r[at]))):
-                    words = tuple(block.bytes[starts[i] : ends[i]].tobytes() for i in range(at, at + n))
-                    if words in same:
-                        items[d] |= same[words]
+                if at + n <= first[d + 1]:
+                    words = b" ".join(block.bytes[starts[i] : ends[i]].tobytes() for i in range(at, at + n))
+                    if (n, words) not in seen:
+                        seen[n, words] = self.items_of(int(r[at]), n, words)
+                    if same := seen[n, words]:
+                        items[d] |= same
                         delta[at] += 1
                         delta[at + n] -= 1
         hit = np.concatenate([[0], (np.cumsum(delta[:-1]) > 0).astype(np.int8), [0]])
@@ -75,44 +98,53 @@ class Windows:
                 if s < stop:
                     runs[d].append((s - int(first[d]), stop - int(first[d])))
                 s, d = max(s, stop), d + 1
-        return np.diff(first), runs, items, (starts, ends, first)
+        return np.diff(first), runs, [sorted(self.names[k] for k in i) for i in items], (starts, ends, first)
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, most: int) -> list[list[tuple[str, str]]]:
-    """The benchmark's items in lists of at most about `most` bytes each."""
+def benchmark_blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's items in lists of about `most` bytes each, fetched one after another; one empty list if there is no text."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(text).alias("t")).filter("t is not null")
     size = rows.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
-    n = -(-size // most)
-    return [[(r.i, r.t) for r in (rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows).collect()] for k in range(n)]
+    n = max(1, -(-size // most))
+    for k in range(n):
+        yield [(r.i, r.t) for r in (rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows).toLocalIterator()]
 
 
 def hits(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = BROADCAST) -> DataFrame:
     """doc_id, n_words, hits (runs of hit words), items and text_hash of every row of df."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def scan(windows) -> DataFrame:
         def run(block: Block) -> dict:
             n, runs, items, _ = windows.value.scan(block)
-            return {"n_words": n, "hits": [[{"first": s, "last": e} for s, e in r] for r in runs], "items": [sorted(i) for i in items]}
+            return {"n_words": n, "hits": [[{"first": s, "last": e} for s, e in r] for r in runs], "items": items}
 
         return scanned(rows, "text", ["doc_id", "text_hash"], run, SCHEMA)
 
-    found = [scan(spark.sparkContext.broadcast(Windows(p))) for p in benchmark_blocks(benchmark, item, item_text, most) or [[]]]
-    if len(found) == 1:
-        return found[0]
+    parts = benchmark_blocks(benchmark, item, item_text, most)
+    held, following = next(parts), next(parts, None)
+    if following is None:
+        return scan(sent(spark, Windows(held)))
+    found = []
+    while held is not None:
+        windows = spark.sparkContext.broadcast(Windows(held))
+        found.append(stored(scan(windows).filter("size(hits) > 0").drop("n_words"), "benchmark-hits"))
+        windows.destroy()
+        held, following = following, next(parts, None)
     both = found[0]
     for f in found[1:]:
         both = both.unionByName(f)
     # rows alike in id and text have the same hits: any one of them stands for all
-    united = both.groupBy("doc_id", "text_hash", "n_words").agg(F.array_sort(F.flatten(F.collect_set("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    united = both.groupBy("doc_id", "text_hash").agg(F.array_sort(F.flatten(F.collect_set("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     merged = F.aggregate(
         "hits", F.array().cast("array<struct<first:long,last:long>>"),
         lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["last"] >= x["first"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.element_at(a, F.lit(-1))["first"].alias("first"), F.greatest(F.element_at(a, F.lit(-1))["last"], x["last"]).alias("last"))))).otherwise(F.concat(a, F.array(x))),
     )
     united = united.withColumn("hits", merged).alias("u")
-    one = found[0].select("doc_id", "text_hash", "n_words").alias("o")
-    return one.join(united, F.col("o.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("o.text_hash") == F.col("u.text_hash"))).select("o.doc_id", "o.text_hash", "o.n_words", "u.hits", "u.items")
+    one = scan(sent(spark, Windows([]))).alias("o")
+    joined = one.join(united, F.col("o.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("o.text_hash") == F.col("u.text_hash")), "left")
+    return joined.select("o.doc_id", "o.text_hash", "o.n_words", F.coalesce("u.hits", "o.hits").alias("hits"), F.coalesce("u.items", "o.items").alias("items"))
 
 
 def report(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -123,36 +155,63 @@ def report(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", item: str = "item_id", item_text: str = "text", most: int = BROADCAST) -> DataFrame:
     """df without contaminated documents, or (remove='spans') with the hit words cut out of its texts."""
     spark = df.sparkSession
-    schema = df.schema
-    parts = benchmark_blocks(benchmark, item, item_text, BROADCAST)
-    for p in parts:  # each block acts on what the others left; a hit is the same whatever came before
-        windows = spark.sparkContext.broadcast(Windows(p))
-
-        def run(batches, windows=windows):
+    names, at = df.columns, df.columns.index(text)
+    out = plain(df)
+    schema = out.schema
+    if remove == "spans":
+        return spans_cut(df, benchmark, text, item, item_text, most)
+
+    def without(windows, rows: DataFrame) -> DataFrame:
+        def run(batches):
             for b in batches:
-                at, keep = b.schema.get_field_index(text), np.ones(b.num_rows, bool)
-                texts = b.column(at).to_pylist()
-                for block in blocks(texts):
-                    _, runs, _, (starts, ends, first) = windows.value.scan(block)
-                    for d, r in enumerate(runs):
-                        if r and remove == "documents":
-                            keep[block.lo + d] = False
-                        elif r:
-                            raw, done, out = texts[block.lo + d].encode(), 0, []
-                            for s, e in r:
-                                out.append(raw[done : starts[first[d] + s] - block.begin[d]])
-                                done = ends[first[d] + e - 1] - block.begin[d]
-                            texts[block.lo + d] = b"".join([*out, raw[done:]]).decode()
-                if remove == "spans":
-                    b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+                keep = np.ones(b.num_rows, bool)
+                for block in blocks(b.column(at).to_pylist()):
+                    _, runs, _, _ = windows.value.scan(block)
+                    keep[block.lo : block.lo + block.n] = [not r for r in runs]
                 yield b.filter(pa.array(keep))
 
-        with batch_rows(spark, 4000):
-            df = df.mapInArrow(run, schema)
-    return df
+        find_code(spark)
+        return rows.mapInArrow(run, schema)
+
+    parts = benchmark_blocks(benchmark, item, item_text, most)
+    held = next(parts)
+    while (following := next(parts, None)) is not None:  # each block acts on what the others left; a hit is the same whatever came before
+        windows = spark.sparkContext.broadcast(Windows(held))
+        out = stored(without(windows, out), "decontaminated")
+        windows.destroy()
+        held = following
+    return without(sent(spark, Windows(held)), out).toDF(*names)
+
+
+def spans_cut(df: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, most: int) -> DataFrame:
+    """df with the hit words cut out of its texts, from the first byte of a run's first word to the last of its last."""
+    spark, names, at = df.sparkSession, df.columns, df.columns.index(text)
+    rows = plain(df)
+    schema = rows.schema
+    parts = list(benchmark_blocks(benchmark, item, item_text, most))
+    if len(parts) > 1:
+        raise ValueError("spans are cut for a benchmark of one broadcast; pass a larger `most`")
+    windows = sent(spark, Windows(parts[0]))
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for block in blocks(texts):
+                _, runs, _, (starts, ends, first) = windows.value.scan(block)
+                for d, r in enumerate(runs):
+                    if r:
+                        raw, done, out = texts[block.lo + d].encode(), 0, []
+                        for s, e in r:
+                            out.append(raw[done : starts[first[d] + s] - block.begin[d]])
+                            done = ends[first[d] + e - 1] - block.begin[d]
+                        texts[block.lo + d] = b"".join([*out, raw[done:]]).decode()
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+
+    find_code(spark)
+    return rows.mapInArrow(run, schema).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

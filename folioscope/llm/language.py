@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.bytescan import Block, blocks, scanned, table
-from folioscope.llm.common import batch_rows, documents, fold_of
+from folioscope.llm.common import documents, find_code, fold_of, sent
 
 DIMS = 4096
 SAMPLE, CENTROIDS, ROUNDS = 500, 4, 15
@@ -106,11 +106,11 @@ def fit(train: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str
                 got = [np.flatnonzero(r) for r in n]
                 yield pa.RecordBatch.from_arrays([b.slice(block.lo, block.n).column(0), pa.array([g.astype(np.uint16).tobytes() for g in got]), pa.array([r[g].astype(np.uint32).tobytes() for r, g in zip(n, got, strict=True)])], ["lang", "at", "n"])
 
-    with batch_rows(spark, 2000):
-        df = {r["at"]: r["n"] for r in rows.select("_text").mapInArrow(frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
-        share = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 30)) / float(1 << 30)
-        rate = F.create_map(*[F.lit(x) for p in chance.items() for x in p]) if chance else F.create_map(F.lit(""), F.lit(0.0))
-        sample = rows.filter(share < F.try_element_at(rate, F.col("_lang"))).select("_lang", "_text").mapInArrow(vectors, "lang string, at binary, n binary").collect()
+    find_code(spark)
+    df = {r["at"]: r["n"] for r in rows.select("_text").mapInArrow(frequencies, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    share = F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 30)) / float(1 << 30)
+    rate = F.create_map(*[F.lit(x) for p in chance.items() for x in p]) if chance else F.create_map(F.lit(""), F.lit(0.0))
+    sample = rows.filter(share < F.try_element_at(rate, F.col("_lang"))).select("_lang", "_text").mapInArrow(vectors, "lang string, at binary, n binary").collect()
     idf = np.log((1 + df.get(DIMS, 0)) / (1 + np.array([df.get(i, 0) for i in range(DIMS)]))).astype(np.float32) + np.float32(0.05)
     model = Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
     centroids, languages, radius = [], [], []
@@ -136,7 +136,7 @@ def fit(train: DataFrame, lang: str = "lang", id_col: str = "doc_id", text: str
 
 def identify(df: DataFrame, model: Model, keep: list[str], text: str = "text", reject: bool = True) -> DataFrame:
     """keep, lang_pred, score (cosine with the nearest centroid), rejected. With reject, rejected texts are `und`."""
-    ready = df.sparkSession.sparkContext.broadcast(model)
+    ready = sent(df.sparkSession, model)
 
     def run(block: Block) -> dict:
         m = ready.value
@@ -150,7 +150,7 @@ def identify(df: DataFrame, model: Model, keep: list[str], text: str = "text", r
         names = [UNKNOWN if n or (reject and r) else m.languages[i] for i, n, r in zip(best, none, out, strict=True)]
         return {"lang_pred": names, "score": np.where(none, 0.0, np.clip(cosine, 0, 1)).astype(np.float64), "rejected": out}
 
-    return scanned(df, text, keep, run, "lang_pred string, score double, rejected boolean", 1, False, 2000)
+    return scanned(df, text, keep, run, "lang_pred string, score double, rejected boolean", 1, False)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -1,7 +1,7 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is the set of its distinct five-word shingles (64-bit hashes). Documents of equal sets are one class from
-the start; only one text of each class is indexed and compared. Shingles are put in one order for all documents:
+the start (128 bits tell sets apart); only one text of each class is indexed and compared. Shingles are put in one order for all documents:
 first those that are not known to be frequent, by hash, then the frequent ones by rising frequency; frequencies come
 from all documents, and the FREQUENT most frequent are kept. If two sets of sizes n share enough, then their
 prefixes of n - ceil(0.8 n) + l shingles share l. The prefix is lengthened, and l raised, while the estimated
@@ -13,10 +13,12 @@ that both have within these shorter prefixes, and is a candidate only if it has
 have in their prefixes don't make pairs at first: each class is compared with the one leader of the shingle, the class
 with the largest part of frequent shingles. Every class is then verified, by its full sets, against its best
 partner, and linked classes are joined. Only then come the pairs left between different components, hot shingles
-included; all of them are verified, so no link is lost, and large groups of near copies are never paired off.
+included; all of them are verified, so no link is lost, and large groups of near copies are never paired off. In
+verification a text is moved once as the first of its pair, and as the second once for every FOLLOWERS pairs.
 
 Null texts and texts without words have empty sets, which are linked with nothing: each row is its own component.
-A doc_id names one text; rows that share it are one vertex. Null ids are vertices that no link reaches (component null).
+Texts that share a doc_id are judged each by itself, repeated rows alike. Rows of a null id are not linked with others
+(component null).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.bytescan import BASE, NOT_SPACE, Block, U, blocks, mix, rolling, scanned, span
-from folioscope.llm.common import batch_rows, discard, documents, release, stored
+from folioscope.llm.common import discard, documents, find_code, plain, sent, stored
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -36,6 +38,8 @@ PERCENT = 80
 FREQUENT, OFTEN = 1 << 18, 8
 #: Classes that may pair off at one prefix shingle; longest extension of a prefix; cost of a prefix shingle in candidates.
 HOT, LONGEST, COST = 48, 16, 2.0
+#: Pairs of one class that a task compares with the same copy of its text.
+FOLLOWERS = 64
 #: Shingles that a task counts together.
 CHUNK = 4 << 20
 
@@ -52,9 +56,17 @@ def shingles(block: Block) -> list[np.ndarray]:
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int(mix(np.array([mix(s ^ U(BASE)).sum(dtype=U) + U(len(s))], U)).view(np.int64)[0])
+def names_of(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit names of a set."""
+    sums = np.array([mix(s ^ U(k)).sum(dtype=U) + U(len(s)) for k in (BASE, 0xD6E8FEB86659FD93)], U)
+    one, two = mix(sums).view(np.int64).tolist()
+    return one, two
+
+
+def class_of(s: np.ndarray, clashing: frozenset) -> int:
+    """The first name, or where sets are known that share it, one made of both."""
+    one, two = names_of(s)
+    return int(mix(np.array([one, two], np.int64).view(U) * U(BASE) + U(1)).sum(dtype=U).view(np.int64)) if one in clashing else one
 
 
 def needed(n: Column, m: Column) -> Column:
@@ -63,9 +75,10 @@ def needed(n: Column, m: Column) -> Column:
 
 
 class Order:
-    """The frequent shingles, sorted, and their frequencies."""
+    """The frequent shingles, sorted, and their frequencies; and the class names that several sets share."""
 
-    def __init__(self, found: list):
+    def __init__(self, found: list, clashing: frozenset = frozenset()):
+        self.clashing = clashing
         self.token = np.array([r.token for r in found], np.int64).view(np.uint64)
         at = np.argsort(self.token)
         self.token, self.often = self.token[at], np.array([r.n for r in found], np.int64)[at]
@@ -87,26 +100,36 @@ class Order:
         return s[order[: n - t + ell]], ell, int(255 * (f > 0).sum() // n)
 
 
-def classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """doc_id, n_shingles and cls (null for the empty set) of every row."""
+def classes(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, frozenset]:
+    """doc_id, text_hash, n_shingles and cls (null for the empty set) of every row; and names that sets share by chance."""
 
     def run(block: Block) -> dict:
         s = shingles(block)
-        return {"n_shingles": [len(x) for x in s], "cls": [class_of(x) if len(x) else None for x in s]}
+        both = [names_of(x) if len(x) else (None, None) for x in s]
+        return {"n_shingles": [len(x) for x in s], "cls": [a for a, _ in both], "second": [b for _, b in both]}
+
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    held = stored(scanned(rows, "text", ["doc_id", "text_hash"], run, "n_shingles long, cls long, second long"), "classes")
+    clashing = frozenset(r.cls for r in held.filter("cls is not null").groupBy("cls").agg(F.min("second").alias("a"), F.max("second").alias("b")).filter("a != b").collect())
+    if clashing:  # of 2^64 names: never more than a handful
+        def renamed(block: Block) -> dict:
+            return {"cls": [class_of(x, clashing) if len(x) else None for x in shingles(block)]}
 
-    return scanned(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], run, "n_shingles long, cls long")
+        again = scanned(rows, "text", ["doc_id", "text_hash"], renamed, "cls long").distinct()
+        held = stored(held.drop("cls").join(again, [held.doc_id.eqNullSafe(again.doc_id), held.text_hash.eqNullSafe(again.text_hash)]).select(held.doc_id, held.text_hash, "n_shingles", "cls"), "classes")
+    return held, clashing
 
 
-def fresh(texts: list, seen: set):
+def fresh(texts: list, seen: set, clashing: frozenset = frozenset()):
     """Classes and sets of texts whose class this task has not seen."""
     for block in blocks(texts):
         for x in shingles(block):
-            if len(x) and (c := class_of(x)) not in seen:
+            if len(x) and (c := class_of(x, clashing)) not in seen:
                 seen.add(c)
                 yield c, x
 
 
-def frequent(texts: DataFrame) -> Order:
+def frequent(texts: DataFrame, clashing: frozenset) -> Order:
     """The most frequent shingles. A task counts CHUNK shingles together and passes on those that it saw more than once."""
 
     def count(held: list[np.ndarray]):
@@ -126,37 +149,38 @@ def frequent(texts: DataFrame) -> Order:
         if held:
             yield count(held)
 
-    with batch_rows(texts.sparkSession, 4000):
-        n = stored(texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN), "shingle-counts")
+    find_code(texts.sparkSession)
+    n = stored(texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN), "shingle-counts")
     scale = F.floor(F.log2("n") * 8)
     least, room = 1 << 62, FREQUENT
     for r in sorted(n.groupBy(scale.alias("k")).count().collect(), reverse=True):
         if r["count"] > room:
             break
         room, least = room - r["count"], r.k
-    out = Order(n.filter(scale >= least).collect())
+    out = Order(n.filter(scale >= least).collect(), clashing)
     discard(n)
     return out
 
 
 def prefixes(texts: DataFrame, order: Order) -> DataFrame:
-    """token, cls and meta (from high to low bits: n in 26, place in 24, ell in 5, common in 8) of every prefix shingle of every class, once a task."""
-    ready = texts.sparkSession.sparkContext.broadcast(order)
+    """token, cls, size (n in the high and the place in the low 32 bits) and traits (ell and common, 8 bits) of every prefix shingle of every class, once a task."""
+    ready = sent(texts.sparkSession, order)
 
     def run(batches):
         seen: set = set()
         for b in batches:
-            token, cls, meta = [], [], []
-            for c, x in fresh(b.column(0).to_pylist(), seen):
+            token, cls, size, traits = [], [], [], []
+            for c, x in fresh(b.column(0).to_pylist(), seen, ready.value.clashing):
                 t, ell, common = ready.value.prefix(x)
                 token.append(t)
                 cls.append(np.full(len(t), c, np.int64))
-                meta.append((np.int64(len(x)) << 37) | (np.arange(len(t)) << 13) | (ell << 8) | common)
+                size.append((np.int64(len(x)) << 32) | np.arange(len(t)))
+                traits.append(np.full(len(t), (ell << 8) | common, np.int32))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(meta))], ["token", "cls", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (cls, size, traits)]], ["token", "cls", "size", "traits"])
 
-    with batch_rows(texts.sparkSession, 4000):
-        return texts.mapInArrow(run, "token long, cls long, meta long")
+    find_code(texts.sparkSession)
+    return texts.mapInArrow(run, "token long, cls long, size long, traits int")
 
 
 def within(x: str, y: str) -> Column:
@@ -167,23 +191,34 @@ def within(x: str, y: str) -> Column:
 
 
 def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
-    """The linked ones of pairs (a, b) of classes. first: cls and the doc_id whose text stands for it; docs: doc_id, text.
+    """The linked ones of pairs (a, b) of classes. first: cls, and doc_id and text_hash of the text that stands for it; docs: doc_id, text_hash, text.
 
-    The ends of the pairs go to the texts, so texts move once and only those needed go on to their pairs."""
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls")).join(first, "cls")
-    both = docs.join(ends.hint("shuffle_hash"), "doc_id").groupBy("a", "b").agg(F.min(F.when(F.col("cls") == F.col("a"), F.col("text"))).alias("x"), F.min(F.when(F.col("cls") == F.col("b"), F.col("text"))).alias("y"))
+    b's of one a are dealt to tasks in groups of about FOLLOWERS; each group gets a's text once, and a task reads its groups one after another."""
+    texts = docs.join(first, ["doc_id", "text_hash"]).select("cls", "text").groupBy("cls").agg(F.min("text").alias("text"))
+    n = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(FOLLOWERS)).cast("int").alias("k"))
+    dealt = pairs.join(n, "a").withColumn("deal", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")).drop("k")
+    firsts = n.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("deal"), F.lit(None).cast("long").alias("b"), F.col("a").alias("cls"))
+    ends = firsts.unionByName(dealt.withColumn("cls", F.col("b"))).join(texts, "cls").select("a", "deal", "b", "text")
+    sorted_ = ends.repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first())
 
     def run(batches):
-        for b in batches:
-            one, two = (([s for block in blocks(b.column(i).to_pylist()) for s in shingles(block)]) for i in (2, 3))
-            keep = []
-            for x, y in zip(one, two, strict=True):
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(bool(shared) and 100 * shared >= PERCENT * (len(x) + len(y) - shared))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    with batch_rows(pairs.sparkSession, 1000):
-        return both.mapInArrow(run, "a long, b long")
+        key, x = None, np.zeros(0, U)
+        for batch in batches:
+            a, deal, b, texts = (batch.column(i).to_pylist() for i in range(4))
+            keep, at = [], 0
+            for block in blocks(texts):
+                for s in shingles(block):
+                    if b[at] is None:
+                        key, x = (a[at], deal[at]), s
+                        keep.append(False)
+                    else:
+                        shared = len(x) + len(s) - len(np.union1d(x, s)) if key == (a[at], deal[at]) else 0
+                        keep.append(bool(shared) and 100 * shared >= PERCENT * (len(x) + len(s) - shared))
+                    at += 1
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    find_code(pairs.sparkSession)
+    return sorted_.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,23 +247,21 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
     out = stored(now.select(F.col("b").alias("cls"), F.col("a").alias("comp")).unionByName(now.select(F.col("a").alias("cls"), F.col("a").alias("comp"))).distinct(), "components")
     discard(now)
-    release(spark)
     return out
 
 
-def links(df: DataFrame, held: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """All components of classes, and the links that were verified. held: classes(df)."""
-    spark = df.sparkSession
+def links(df: DataFrame, held: DataFrame, clashing: frozenset, id_col: str, text: str) -> DataFrame:
+    """All components of classes. held and clashing: classes(df)."""
     words = df.filter(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(text).alias("text"))
-    order = frequent(words)
-    rows = prefixes(words, order)
-    # a class that several tasks saw has the same rows from each; dealt by shingle, all that follows needs no other shuffle
-    unpacked = rows.repartition("token").select("token", "cls", F.shiftright("meta", 37).alias("n"), F.shiftright("meta", 13).bitwiseAND(F.lit((1 << 24) - 1)).alias("pos"), F.shiftright("meta", 8).bitwiseAND(F.lit(31)).alias("ell"), F.col("meta").bitwiseAND(F.lit(255)).alias("common"))
-    several = unpacked.groupBy("token", "cls").agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.max("ell").alias("ell"), F.max("common").alias("common"))
-    group = Window.partitionBy("token")
-    several = several.withColumn("m", F.count("*").over(group)).filter("m > 1").withColumn("leader", F.max(F.struct("common", "n", "cls")).over(group)["cls"])
-    index = stored(several, "prefixes")
-    release(spark)
+    rows = prefixes(words, frequent(words, clashing))
+    # shingles of one class go first; a class that several tasks saw has the same rows from each, and leaves one
+    shared = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("token")
+    several = rows.join(shared.hint("merge"), "token").distinct()
+    several = several.select("token", "cls", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), F.shiftright("traits", 8).alias("ell"), F.col("traits").bitwiseAND(F.lit(255)).alias("common"))
+    several = stored(several, "shared-prefixes")
+    by_token = several.groupBy("token").agg(F.count("*").alias("m"), F.max(F.struct("common", "n", "cls"))["cls"].alias("leader"))
+    index = stored(several.join(by_token, "token"), "prefixes")
+    discard(several)
     hot = index.filter(F.col("m") > HOT)
     facts = stored(index.groupBy("cls").agg(F.count_if(F.col("m") > HOT).alias("h"), F.count_if(F.col("m") <= HOT).alias("f")), "class-facts")
     few = index.filter(F.col("m") <= HOT).select("token", "cls", "n", "pos", "ell")
@@ -242,15 +275,13 @@ def links(df: DataFrame, held: DataFrame, id_col: str, text: str) -> tuple[DataF
 
     pairs = few.alias("x").join(few.alias("y"), "token").filter((F.col("x.cls") < F.col("y.cls")) & within("x", "y"))
     near = stored(candidates(pairs, "h"), "candidates")
-    release(spark)
     led = hot.filter("cls != leader").groupBy("cls", "leader").agg(F.count("*").alias("s")).select(F.col("cls").alias("a"), F.col("leader").alias("b"), "s")
     either = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).unionByName(led)
     best = either.groupBy("a").agg(F.max(F.struct("s", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
-    first = held.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    first = held.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("cls", "f.doc_id", "f.text_hash")
+    docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     tried = stored(best, "tried")
     found = stored(verified(tried, first, docs), "links")
-    release(spark)
     comp = components(found)
     named = lambda e: F.coalesce(F.col(f"{e}.comp"), F.col(f"{e}.cls"))
     left = near.join(comp.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("cls").alias("b"), F.col("comp").alias("cb")), "b", "left")
@@ -266,30 +297,45 @@ def links(df: DataFrame, held: DataFrame, id_col: str, text: str) -> tuple[DataF
     rest = stored(left.unionByName(cross).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     if rest.count():
         late = stored(verified(rest, first, docs), "links")
-        both = found.unionByName(late)
-        comp_all = components(both)
-        discard(comp)
-        comp = comp_all
-    discard(index, facts, near, tried, rest)
-    return comp, found
+        both = components(found.unionByName(late))
+        discard(comp, late)
+        comp = both
+    discard(index, facts, near, tried, rest, found)
+    return comp
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id that links reach) of every row."""
-    held = stored(classes(df, id_col, text), "classes")
-    comp, _ = links(df, held, id_col, text)
+def judged(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id (least doc_id that links reach) of every row."""
+    held, clashing = classes(df, id_col, text)
+    comp = links(df, held, clashing, id_col, text)
     by_class = held.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(comp, "cls", "left")
     by_class = by_class.withColumn("comp", F.coalesce("comp", "cls"))
     least = by_class.groupBy("comp").agg(F.min("least").alias("component_id"))
     by_class = by_class.join(least, "comp").select("cls", "component_id")
-    return held.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = held.join(by_class, "cls", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return judged(df, id_col, text).drop("text_hash")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each group of near duplicates: the one with the least id."""
-    found = near_duplicates(df, id_col, text)
-    dropped = found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(dropped, id_col, "left_anti")
+    """df with one row of each group of near duplicates: one that has the least id. Of rows of that id and group one stays.
+
+    Rows of a null id all stay. Columns of any name pass through."""
+    rows = plain(df)
+    key, words = f"c{df.columns.index(id_col)}", f"c{df.columns.index(text)}"
+    found = judged(rows, key, words).filter("n_shingles > 0 and doc_id is not null")
+    kept = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("one"))
+    found = found.select("doc_id", "text_hash", "component_id").distinct().join(kept, "component_id")
+    dropped = found.filter("doc_id != component_id or text_hash != one").select(F.col("doc_id").alias(key), F.col("text_hash").alias("_hash"))
+    out = rows.withColumn("_hash", F.xxhash64(words)).join(dropped, [key, "_hash"], "left_anti")
+    # rows alike in id and text: the first by all they hold
+    alike = out.filter(F.col(key).isNotNull() & F.col(words).isNotNull()).groupBy(key, "_hash").agg(F.min(F.xxhash64(*rows.columns)).alias("_row"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    out = out.join(alike, [key, "_hash"], "left").filter(F.col("_row").isNull() | (F.col("_row") == F.xxhash64(*rows.columns)))
+    return out.select(*rows.columns).toDF(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import batch_rows, documents
+from folioscope.llm.common import documents, find_code, sent
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, fixed values of the contract.
@@ -285,7 +285,7 @@ def fit(df: DataFrame, text: str = "text") -> Network:
 
 def detect(df: DataFrame, network: Network, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, base and added: arrays of (kind, start, finish)."""
-    ready = df.sparkSession.sparkContext.broadcast(network)
+    ready = sent(df.sparkSession, network)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("finish", pa.int64())])
 
     def run(batches):
@@ -303,8 +303,8 @@ def detect(df: DataFrame, network: Network, id_col: str = "doc_id", text: str =
 
     kind = df.schema[id_col].dataType.simpleString()
     spans = "array<struct<kind:string,start:long,finish:long>>"
-    with batch_rows(df.sparkSession, 2000):
-        return df.select(F.col(id_col), F.col(text)).mapInArrow(run, f"doc_id {kind}, base {spans}, added {spans}")
+    find_code(df.sparkSession)
+    return df.select(F.col(id_col), F.col(text)).mapInArrow(run, f"doc_id {kind}, base {spans}, added {spans}")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.bytescan import BASE, INVERSE, Block, U, blocks, mix, powers, scanned, span
-from folioscope.llm.common import batch_rows, documents, release, stored
+from folioscope.llm.common import documents, find_code, stored
 
 HALF = 50
 LENGTH = 2 * HALF
@@ -105,8 +105,8 @@ def ranked(docs: DataFrame) -> DataFrame:
                 of = np.searchsorted(block.begin, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(r.rank[at].view(np.int64)), pa.array(r.around(at, of).view(np.int64)), pa.array(ids[block.lo + of]), pa.array(keys[block.lo + of]), pa.array((at - block.begin[of]).astype(np.int32))], ["rank", "around", "doc", "key", "at"])
 
-    with batch_rows(docs.sparkSession, 4000):
-        return docs.mapInArrow(run, "rank long, around long, doc long, key long, at int")
+    find_code(docs.sparkSession)
+    return docs.mapInArrow(run, "rank long, around long, doc long, key long, at int")
 
 
 def doubled(docs: DataFrame) -> DataFrame:
@@ -123,8 +123,8 @@ def doubled(docs: DataFrame) -> DataFrame:
                 of = np.searchsorted(block.begin, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(r.doubled(at).view(np.int64)), pa.array(ids[block.lo + of]), pa.array(keys[block.lo + of]), pa.array((at - block.begin[of]).astype(np.int32))], ["rank", "doc", "key", "at"])
 
-    with batch_rows(docs.sparkSession, 2000):
-        return docs.mapInArrow(run, "rank long, doc long, key long, at int")
+    find_code(docs.sparkSession)
+    return docs.mapInArrow(run, "rank long, doc long, key long, at int")
 
 
 def covers(docs: DataFrame) -> DataFrame:
@@ -135,12 +135,10 @@ def covers(docs: DataFrame) -> DataFrame:
     first = ranked(docs).withColumn("open", F.first("around").over(whole) != F.last("around").over(whole))
     first = first.withColumn("again", F.rank().over(Window.partitionBy("rank", "around").orderBy("doc", "key", "at")) > 1).filter("again or open")
     first = stored(first.select("doc", "key", "at", "again"), "ranked")
-    release(spark)
     opened = first.filter("not again").groupBy("doc", "key").agg(F.collect_list("at").alias("open"))
     windows = doubled(docs.join(opened.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "open"))
     later = windows.withColumn("again", F.rank().over(Window.partitionBy("rank").orderBy("doc", "key", "at")) > 1).filter("again")
     later = stored(later.select("doc", "key", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")), "doubled")
-    release(spark)
     digests = docs.filter(F.octet_length("text") >= LENGTH).select("doc", "key", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("n"))
     copies = digests.join(digests.groupBy("digest", "n").agg(F.min("doc").alias("least")), ["digest", "n"]).filter("doc > least")
     copies = stored(copies.select("doc", "key", F.lit(0).alias("lo"), F.col("n").alias("hi")), "copies")
@@ -185,8 +183,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", te
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts])
 
     kind = df.schema[id_col].dataType.simpleString()
-    with batch_rows(df.sparkSession, 2000):
-        return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    find_code(df.sparkSession)
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

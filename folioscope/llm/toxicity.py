@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.bytescan import Block, blocks, mix, scanned
-from folioscope.llm.common import batch_rows, documents, fold_of, table
+from folioscope.llm.common import documents, find_code, fold_of, sent, table
 
 GRAM, BITS = 5, 18
 BUCKETS = 1 << BITS
@@ -154,12 +154,12 @@ def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str =
             k, at = np.nonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(at, pa.int32()), pa.array(n[k, at], pa.int64())], ["k", "at", "n"])
 
-    with batch_rows(spark, 4000):
-        table_ = sample.mapInArrow(count, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toPandas()
+    find_code(spark)
+    table_ = sample.mapInArrow(count, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, BUCKETS))
     counts[table_["k"], table_["at"]] = table_["n"]
     model = Model(weigh(counts[1], counts[0]))
-    raw = spark.sparkContext.broadcast(model)
+    raw = sent(spark, model)
 
     def best_of(block: Block) -> dict:
         _, _, peak, of = raw.value.passages(block)
@@ -170,7 +170,7 @@ def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str =
     held = scanned(sample, "_text", ["_y"], best_of, "best double, size long", GRAM + 3).toPandas()
     clean = held[(held["_y"] == 0) & (held["size"] > 0)]
     model.law = fit_law(clean["best"].to_numpy(), clean["size"].to_numpy())
-    ready = spark.sparkContext.broadcast(model)
+    ready = sent(spark, model)
 
     def marks(block: Block) -> dict:
         best, total, _ = ready.value.features(block)
@@ -184,7 +184,7 @@ def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str =
 
 def score(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """keep, score, and passages: start, length (bytes) and surprise of every significant one."""
-    ready = df.sparkSession.sparkContext.broadcast(model)
+    ready = sent(df.sparkSession, model)
 
     def run(block: Block) -> dict:
         best, total, (start, stop, peak, of, s) = ready.value.features(block)

@@ -265,7 +265,7 @@ def test_mixing(spark, empty):
     labels = spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(100)] + [(None, "a"), (7, None)], "doc_id long, domain string")
     c = mixing.fit_classifier(df, labels)
     out = mixing.mixed(df, c, {"a": 0.5, "b": 0.5}).collect()
-    held = {d: sum(r._t * r._p[k] / mixing.GRID * r.rate for r in out) for k, d in enumerate(c.domains)}
+    held = {d: sum(r.t * r.p[k] / mixing.GRID * r.rate for r in out) for k, d in enumerate(c.domains)}
     assert abs(held["a"] - held["b"]) < 0.01 * sum(held.values()) and all(r.rate >= 0 for r in out)
     more = mixing.repeated(df, c, {"a": 0.5, "b": 0.5}, floor=1.0, grow=True)
     assert more.columns == df.columns and more.select("doc_id").distinct().count() == 202
@@ -291,9 +291,9 @@ def test_mixing_targets_ask_for_work(spark):
 
 def test_mixing_rates_stop_at_zero(spark):
     """A target of nothing drives pure documents to a rate of zero, not below."""
-    df = spark.createDataFrame([([1000, 0], 50), ([500, 500], 30), ([0, 1000], 20)], "_p array<int>, _t int")
+    df = spark.createDataFrame([([1000, 0], 50), ([500, 500], 30), ([0, 1000], 20)], "p array<int>, t int")
     steps = mixing.fit_rates(df, ["a", "b"], {"a": 1.0})
-    rates = {tuple(r._p): r.rate for r in df.withColumn("rate", mixing.rate(steps, 0.0)).collect()}
+    rates = {tuple(r.p): r.rate for r in df.withColumn("rate", mixing.rate(steps, 0.0)).collect()}
     assert rates[0, 1000] == 0 and rates[500, 500] < rates[1000, 0]
 
 
