@@ -97,10 +97,11 @@ def rate(steps: list[list[float]], floor: float) -> Column:
     if not steps:
         return F.lit(1.0)
 
-    def step(r: Column, g: Column) -> Column:
-        return F.greatest(F.lit(floor), r - F.aggregate(F.zip_with("p", g, lambda p, x: p * x / F.lit(GRID)), F.lit(0.0), lambda a, m: a + m))
+    def after(p: Column) -> Column:
+        moved = lambda g: F.aggregate(F.zip_with(p, g, lambda x, y: x * y / F.lit(GRID)), F.lit(0.0), lambda a, m: a + m)
+        return F.aggregate(F.lit(steps), F.lit(1.0), lambda r, g: F.greatest(F.lit(floor), r - moved(g)))
 
-    return F.aggregate(F.lit(steps), F.lit(1.0), step)
+    return F.transform(F.array("p"), after)[0]  # bound to a variable, p is worked out once and not once a step
 
 
 def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
