@@ -108,8 +108,8 @@ ALNUM = table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 def scanned(df: DataFrame, text: str, keep: list[str], run, schema: str, gap: int = 1, fold: bool = True) -> DataFrame:
     """The columns keep of df, unchanged, and those of schema, which run(block) returns as a dict of arrays or lists.
 
-    One row out for each row in. Arrow batches pass through without pandas, so integers with nulls stay exact. A batch has
-    10,000 rows or 64 MB at most (spark.sql.execution.arrow.*), and within it texts are worked on in blocks of about 1 MB."""
+    One row out for each row in. Arrow batches pass through without pandas, so integers with nulls stay exact. Within a
+    batch, texts are worked on in blocks of about 1 MB."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string

@@ -121,8 +121,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH = 8 << 20
+
+
 def find_code(spark: SparkSession) -> None:
-    """Python workers get this package's folder on their path, for sessions that were started elsewhere."""
+    """Prepare the session for Python workers: batches of BATCH bytes at most, and this package's folder on their path.
+
+    Plans run later than they are made, so the setting of the batches stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
