@@ -1,20 +1,22 @@
 """Suffix-array deduplication: removal of bytes that lie in a LENGTH-byte string which also starts earlier.
 
-Positions are ranked by prefix doubling. A rank is the 64-bit name of the string at a position; equal strings have
-equal ranks whatever machine names them, so ranks need no global renumbering. Spark sorts (rank, position) rows at
-offset HALF, drops the positions whose rank is unique, pairs the rank of each remaining position with the one HALF
-bytes on, and sorts again; at LENGTH = 2 * HALF bytes the threshold is passed and doubling ends.
+Positions are ranked by prefix doubling. A rank is a name of the string at a position; equal strings have equal ranks
+whatever machine names them, so the doublings up to HALF bytes run inside a task and need no global renumbering. Spark
+then groups (rank, position) rows at HALF bytes, drops the positions whose rank is unique, pairs the rank of each
+remaining position with the one HALF bytes on, and groups again; at LENGTH = 2 * HALF bytes the threshold is passed and
+doubling ends. A rank at HALF bytes has 64 bits and only says what goes on; what decides on removal has 128.
 
 Three things keep the first sort small without losing a repeat. Exact copies of a text are named once a task, and
 known as copies by their digest. Of the HALF-byte strings only those that are least in some LENGTH-byte window are
 ranked (about one in 25): equal windows choose alike, so every repeated window has a ranked position in common with
 its earlier occurrence. And each ranked position carries the name of its whole surroundings: a later one in the same
 surroundings is a repeat in all its windows and goes no further, so only windows at the edges of repeats are ranked
-at full length.
+at full length. A passage that very many texts share is no hot group: facts of a rank are partial aggregates, which
+come back to the positions by a join that Spark can split, and repeats within a block of texts are settled in its task.
 
 Order is by doc_id, then offset; a null doc_id comes first. Null text is empty. A document is a doc_id, null or not,
 with a text (its 64-bit hash): rows that share both are one document with one result each, and texts that share an id
-are documents of their own, in the order of their hashes. Texts under LENGTH bytes lose nothing.
+are documents of their own, in the order of their hashes. Texts under LENGTH bytes lose nothing. Ids are integers.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.bytescan import BASE, INVERSE, Block, U, blocks, mix, powers, scanned, span
-from folioscope.llm.common import documents, find_code, stored
+from folioscope.llm.common import discard, documents, find_code, stored
 
 HALF = 50
 LENGTH = 2 * HALF
@@ -45,12 +47,28 @@ def slide(x: np.ndarray, n: int, least) -> np.ndarray:
     return out
 
 
+#: The base of the second names.
+OTHER = 0xC2B2AE3D27D4EB4F
+OTHER_INVERSE = pow(OTHER, -1, 1 << 64)
+
+
+def second_sums(block: Block) -> np.ndarray:
+    out = np.zeros(len(block.bytes) + 1, U)
+    np.cumsum(mix(block.bytes.astype(U) + U(1)) * powers(OTHER, len(block.bytes)), out=out[1:])
+    return out
+
+
+def span_by(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Second names of the substrings [start, end)."""
+    return mix((sums[end] - sums[start]) * powers(OTHER_INVERSE, len(sums))[start] + (end - start).astype(U) * U(OTHER))
+
+
 class Ranks:
     """Ranks of a block's positions at HALF bytes, the least of each window, and which windows lie within one text."""
 
     def __init__(self, block: Block):
         self.block, a = block, block.bytes
-        self.sums = block.sums()
+        self.sums, self.second = block.sums(), second_sums(block)
         n = len(a)
         self.rank = mix((self.sums[HALF:] - self.sums[:-HALF]) * powers(INVERSE, n + 1)[: n + 1 - HALF])
         room = np.zeros(n + 1, np.int32)
@@ -70,10 +88,11 @@ class Ranks:
         top = slide(m, HALF + 1, np.maximum)[: len(self.inside) + HALF]
         return np.flatnonzero(top == self.rank[: len(top)])
 
-    def around(self, at: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Names of all bytes that share a window with the ranked string at each position, and of its place in them."""
+    def around(self, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names (128 bits) of all bytes that share a window with the ranked string at each position, and of its place in them."""
         lo, hi = np.maximum(at - HALF, self.block.begin[of]), np.minimum(at + LENGTH, self.block.end[of])
-        return mix(span(self.sums, lo, hi) + (at - lo).astype(U) * U(BASE))
+        place = (at - lo).astype(U) * U(BASE)
+        return mix(span(self.sums, lo, hi) + place), mix(span_by(self.second, lo, hi) + place)
 
     def windows_of(self, at: np.ndarray) -> np.ndarray:
         """The windows whose least rank stands at one of these positions."""
@@ -81,13 +100,31 @@ class Ranks:
         v[at] = self.rank[at]
         return np.flatnonzero(self.inside & (slide(v, HALF + 1, np.minimum)[: len(self.inside)] == self.least))
 
-    def doubled(self, at: np.ndarray) -> np.ndarray:
-        """Ranks at LENGTH bytes: the pair of ranks HALF bytes apart."""
-        return mix(self.rank[at] * U(BASE) + self.rank[at + HALF])
+    def doubled(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks at LENGTH bytes: the pair of ranks HALF bytes apart, and a second name."""
+        return mix(self.rank[at] * U(BASE) + self.rank[at + HALF]), span_by(self.second, at, at + LENGTH)
+
+
+def again_here(doc: np.ndarray, key: np.ndarray, at: np.ndarray, *names: np.ndarray) -> np.ndarray:
+    """Which positions of a block have an earlier one of the same names in it. Repeated rows share their positions."""
+    order = np.lexsort((at, key, doc, *names))
+    new = np.ones(len(order), bool)
+    for n in names:
+        new[1:] &= n[order][1:] == n[order][:-1]
+    new[1:] = ~new[1:]
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    out = np.zeros(len(order), bool)
+    out[order] = (doc[order] != doc[first]) | (key[order] != key[first]) | (at[order] != at[first])
+    return out
+
+
+def apart(names: np.ndarray, own: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Names as they are, or for what is settled one of its own, so that it is dealt out evenly and meets nothing."""
+    return np.where(own, mix(at.astype(U) * U(0xD1342543DE82EF95) + of.astype(U) * U(BASE) + mix(names)), names)
 
 
 def ranked(docs: DataFrame) -> DataFrame:
-    """rank, around, doc, key, at: the chosen positions of every text, of copies in one task only the earliest."""
+    """rank, around, second, doc, key, at, own: the chosen positions of every text, of copies in one task only the earliest. own: settled as a repeat."""
 
     def run(batches):
         seen: dict[bytes, int] = {}
@@ -103,14 +140,18 @@ def ranked(docs: DataFrame) -> DataFrame:
                 r = Ranks(block)
                 at = r.chosen()
                 of = np.searchsorted(block.begin, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(r.rank[at].view(np.int64)), pa.array(r.around(at, of).view(np.int64)), pa.array(ids[block.lo + of]), pa.array(keys[block.lo + of]), pa.array((at - block.begin[of]).astype(np.int32))], ["rank", "around", "doc", "key", "at"])
+                doc, key, at0 = ids[block.lo + of], keys[block.lo + of], (at - block.begin[of]).astype(np.int32)
+                around, second = r.around(at, of)
+                own = again_here(doc, key, at0, around, second)
+                cols = [apart(r.rank[at], own, at, of).view(np.int64), around.view(np.int64), second.view(np.int64), doc, key, at0, own]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rank", "around", "second", "doc", "key", "at", "own"])
 
     find_code(docs.sparkSession)
-    return docs.mapInArrow(run, "rank long, around long, doc long, key long, at int")
+    return docs.mapInArrow(run, "rank long, around long, second long, doc long, key long, at int, own boolean")
 
 
 def doubled(docs: DataFrame) -> DataFrame:
-    """rank, doc, key, at: at LENGTH bytes, for the windows of the positions in the column `open`."""
+    """rank, second, doc, key, at, own: at LENGTH bytes, for the windows of the positions in the column `open`."""
 
     def run(batches):
         for b in batches:
@@ -121,29 +162,38 @@ def doubled(docs: DataFrame) -> DataFrame:
                 counts = np.diff(part.offsets.to_numpy())
                 at = r.windows_of(np.sort(part.flatten().to_numpy() + np.repeat(block.begin, counts)))
                 of = np.searchsorted(block.begin, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(r.doubled(at).view(np.int64)), pa.array(ids[block.lo + of]), pa.array(keys[block.lo + of]), pa.array((at - block.begin[of]).astype(np.int32))], ["rank", "doc", "key", "at"])
+                doc, key, at0 = ids[block.lo + of], keys[block.lo + of], (at - block.begin[of]).astype(np.int32)
+                rank, second = r.doubled(at)
+                own = again_here(doc, key, at0, rank, second)
+                cols = [apart(rank, own, at, of).view(np.int64), second.view(np.int64), doc, key, at0, own]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rank", "second", "doc", "key", "at", "own"])
 
     find_code(docs.sparkSession)
-    return docs.mapInArrow(run, "rank long, doc long, key long, at int")
+    return docs.mapInArrow(run, "rank long, second long, doc long, key long, at int, own boolean")
+
+
+def later(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows with again: whether an earlier row has the same names. Equal (doc, key, at) come from repeated rows and share a place in the order."""
+    place = F.struct("doc", "key", "at")
+    groups = rows.groupBy(*names).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
+    return rows.join(groups.hint("merge"), names, "left").withColumn("again", F.col("own") | F.coalesce(place != F.col("first"), F.lit(False))).drop("first")
 
 
 def covers(docs: DataFrame) -> DataFrame:
     """doc, key, lo, hi: bytes that repeat earlier ones; hi may lie past the end of a text. docs: doc, key, text."""
-    spark = docs.sparkSession
-    # equal (doc, key, at) come from repeated rows and share a place in the order
-    whole = Window.partitionBy("rank").orderBy("around", "doc", "key", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = ranked(docs).withColumn("open", F.first("around").over(whole) != F.last("around").over(whole))
-    first = first.withColumn("again", F.rank().over(Window.partitionBy("rank", "around").orderBy("doc", "key", "at")) > 1).filter("again or open")
-    first = stored(first.select("doc", "key", "at", "again"), "ranked")
-    opened = first.filter("not again").groupBy("doc", "key").agg(F.collect_list("at").alias("open"))
-    windows = doubled(docs.join(opened.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "open"))
-    later = windows.withColumn("again", F.rank().over(Window.partitionBy("rank").orderBy("doc", "key", "at")) > 1).filter("again")
-    later = stored(later.select("doc", "key", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")), "doubled")
+    rows = ranked(docs)
+    facts = rows.groupBy("rank").agg(F.count("*").alias("n"), (F.min("around") != F.max("around")).alias("open")).filter("n > 1").drop("n")
+    live = stored(rows.join(facts.hint("merge"), "rank", "left").filter("own or open is not null").withColumn("open", F.coalesce("open", F.lit(False))), "live-ranks")
+    first = stored(later(live, ["rank", "around", "second"]).filter("again or open").select("doc", "key", "at", "again"), "ranked")
+    discard(live)
+    opened = first.filter("not again").groupBy("doc", "key").agg(F.collect_set("at").alias("open"))
+    windows = doubled(docs.join(opened, ["doc", "key"]).select("doc", "key", "text", "open"))
+    found = stored(later(windows, ["rank", "second"]).filter("again").select("doc", "key", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")), "doubled")
     digests = docs.filter(F.octet_length("text") >= LENGTH).select("doc", "key", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("n"))
-    copies = digests.join(digests.groupBy("digest", "n").agg(F.min("doc").alias("least")), ["digest", "n"]).filter("doc > least")
+    copies = digests.join(digests.groupBy("digest", "n").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least != most").hint("merge"), ["digest", "n"]).filter("doc > least")
     copies = stored(copies.select("doc", "key", F.lit(0).alias("lo"), F.col("n").alias("hi")), "copies")
     again = first.filter("again").select("doc", "key", F.greatest(F.col("at") - HALF, F.lit(0)).alias("lo"), (F.col("at") + LENGTH).alias("hi"))
-    return copies.unionByName(again).unionByName(later)
+    return copies.unionByName(again).unionByName(found)
 
 
 def cut_out(raw: bytes, lo, hi) -> tuple[int, list[tuple[int, int]]]:
@@ -163,7 +213,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with texts also `kept`, the bytes that remain."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     some = covers(docs.select("doc", "key", "text")).groupBy("doc", "key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    joined = docs.join(some.hint("shuffle_hash"), ["doc", "key"], "left").select("doc_id", "text", "lo", "hi")
+    joined = docs.join(some, ["doc", "key"], "left").select("doc_id", "text", "lo", "hi")
 
     def run(batches):
         none = np.zeros(0, np.int64)
@@ -189,3 +239,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", te
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
+
+
+#: Hexadecimal digits of the UTF-8 bytes, two a byte: DuckDB cuts strings, not bytes.
+SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, n, p, substr(h, cast(2 * p + 1 as bigint), 200) as s from (select doc_id, n, h, unnest(range(0, n - 99)) as p from d where n >= 100)),
+a as (select doc_id, n, p from (select doc_id, n, p, row_number() over (partition by s order by doc_id, p) as k from w) where k > 1),
+b as (select *, lag(p) over (partition by doc_id order by p) as before from a),
+i as (select *, sum(case when before is null or p > before + 100 then 1 else 0 end) over (partition by doc_id order by p rows unbounded preceding) as g from b),
+r as (select doc_id, g, min(p) as lo, max(p) + 100 as hi from i group by doc_id, g),
+k as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as done from r),
+s as (select k.doc_id, sum(hi - lo) as n_removed, count(*) as n_spans, max(hi) as last, string_agg(substr(h, cast(2 * done + 1 as bigint), cast(2 * (lo - done) as bigint)), '' order by lo) as kept from k join d on d.doc_id = k.doc_id group by k.doc_id)
+select d.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(case when s.doc_id is null then h else kept || substr(h, cast(2 * last + 1 as bigint)) end)) as kept_sha256
+from d left join s on s.doc_id = d.doc_id
+"""
