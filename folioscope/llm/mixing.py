@@ -197,7 +197,8 @@ def achieved(out: DataFrame, domains: list[str], targets: dict[str, float], grow
 
 def repeated(df: DataFrame, classifier: Classifier, targets: dict[str, float], floor: float = 0.0, grow: bool = False, text: str = "text") -> DataFrame:
     """The rows of df, each as many times as its rate says."""
-    out = mixed(df, classifier, targets, floor, grow, text).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # no filter: it would be pushed below and work the posteriors out again; rows of no copy vanish in the explosion
+    out = mixed(df, classifier, targets, floor, grow, text).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return out.select(*plain(df).columns).toDF(*df.columns)
 
 
