@@ -4,7 +4,7 @@ Positions are ranked by prefix doubling. A rank is a name of the string at a pos
 whatever machine names them, so the doublings up to HALF bytes run inside a task and need no global renumbering. Spark
 then groups (rank, position) rows at HALF bytes, drops the positions whose rank is unique, pairs the rank of each
 remaining position with the one HALF bytes on, and groups again; at LENGTH = 2 * HALF bytes the threshold is passed and
-doubling ends. A rank at HALF bytes has 64 bits and only says what goes on; what decides on removal has 128.
+doubling ends. What decides on removal is two names of 64 bits each, of different bases.
 
 Three things keep the first sort small without losing a repeat. Exact copies of a text are named once a task, and
 known as copies by their digest. Of the HALF-byte strings only those that are least in some LENGTH-byte window are
@@ -88,11 +88,10 @@ class Ranks:
         top = slide(m, HALF + 1, np.maximum)[: len(self.inside) + HALF]
         return np.flatnonzero(top == self.rank[: len(top)])
 
-    def around(self, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Names (128 bits) of all bytes that share a window with the ranked string at each position, and of its place in them."""
+    def around(self, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Names of all bytes that share a window with the ranked string at each position, and of its place in them."""
         lo, hi = np.maximum(at - HALF, self.block.begin[of]), np.minimum(at + LENGTH, self.block.end[of])
-        place = (at - lo).astype(U) * U(BASE)
-        return mix(span(self.sums, lo, hi) + place), mix(span_by(self.second, lo, hi) + place)
+        return mix(span_by(self.second, lo, hi) + (at - lo).astype(U) * U(BASE))
 
     def windows_of(self, at: np.ndarray) -> np.ndarray:
         """The windows whose least rank stands at one of these positions."""
@@ -124,7 +123,7 @@ def apart(names: np.ndarray, own: np.ndarray, at: np.ndarray, of: np.ndarray) ->
 
 
 def ranked(docs: DataFrame) -> DataFrame:
-    """rank, around, second, doc, key, at, own: the chosen positions of every text, of copies in one task only the earliest. own: settled as a repeat."""
+    """rank, around, doc, key, at, own: the chosen positions of every text, of copies in one task only the earliest. own: settled as a repeat."""
 
     def run(batches):
         seen: dict[bytes, int] = {}
@@ -141,13 +140,13 @@ def ranked(docs: DataFrame) -> DataFrame:
                 at = r.chosen()
                 of = np.searchsorted(block.begin, at, "right") - 1
                 doc, key, at0 = ids[block.lo + of], keys[block.lo + of], (at - block.begin[of]).astype(np.int32)
-                around, second = r.around(at, of)
-                own = again_here(doc, key, at0, around, second)
-                cols = [apart(r.rank[at], own, at, of).view(np.int64), around.view(np.int64), second.view(np.int64), doc, key, at0, own]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rank", "around", "second", "doc", "key", "at", "own"])
+                around = r.around(at, of)
+                own = again_here(doc, key, at0, r.rank[at], around)
+                cols = [apart(r.rank[at], own, at, of).view(np.int64), around.view(np.int64), doc, key, at0, own]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rank", "around", "doc", "key", "at", "own"])
 
     find_code(docs.sparkSession)
-    return docs.mapInArrow(run, "rank long, around long, second long, doc long, key long, at int, own boolean")
+    return docs.mapInArrow(run, "rank long, around long, doc long, key long, at int, own boolean")
 
 
 def doubled(docs: DataFrame) -> DataFrame:
@@ -172,6 +171,12 @@ def doubled(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "rank long, second long, doc long, key long, at int, own boolean")
 
 
+def unsettled(rows: DataFrame) -> DataFrame:
+    """rows whose rank occurs more than once, and those that are settled. Only the ranks themselves are counted, by partial sums."""
+    twice = rows.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank", F.lit(True).alias("twice"))
+    return rows.join(twice.hint("merge"), "rank", "left").filter("own or twice").drop("twice")
+
+
 def later(rows: DataFrame, names: list[str]) -> DataFrame:
     """rows with again: whether an earlier row has the same names. Equal (doc, key, at) come from repeated rows and share a place in the order."""
     place = F.struct("doc", "key", "at")
@@ -181,14 +186,15 @@ def later(rows: DataFrame, names: list[str]) -> DataFrame:
 
 def covers(docs: DataFrame) -> DataFrame:
     """doc, key, lo, hi: bytes that repeat earlier ones; hi may lie past the end of a text. docs: doc, key, text."""
-    rows = ranked(docs)
-    facts = rows.groupBy("rank").agg(F.count("*").alias("n"), (F.min("around") != F.max("around")).alias("open")).filter("n > 1").drop("n")
-    live = stored(rows.join(facts.hint("merge"), "rank", "left").filter("own or open is not null").withColumn("open", F.coalesce("open", F.lit(False))), "live-ranks")
-    first = stored(later(live, ["rank", "around", "second"]).filter("again or open").select("doc", "key", "at", "again"), "ranked")
+    live = stored(unsettled(ranked(docs)), "live-ranks")
+    open_ = live.groupBy("rank").agg((F.min("around") != F.max("around")).alias("open"))
+    first = stored(later(live.join(open_.hint("merge"), "rank"), ["rank", "around"]).filter("again or open").select("doc", "key", "at", "again"), "ranked")
     discard(live)
     opened = first.filter("not again").groupBy("doc", "key").agg(F.collect_set("at").alias("open"))
     windows = doubled(docs.join(opened, ["doc", "key"]).select("doc", "key", "text", "open"))
-    found = stored(later(windows, ["rank", "second"]).filter("again").select("doc", "key", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")), "doubled")
+    some = stored(unsettled(windows), "live-windows")
+    found = stored(later(some, ["rank", "second"]).filter("again").select("doc", "key", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")), "doubled")
+    discard(some)
     digests = docs.filter(F.octet_length("text") >= LENGTH).select("doc", "key", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("n"))
     copies = digests.join(digests.groupBy("digest", "n").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least != most").hint("merge"), ["digest", "n"]).filter("doc > least")
     copies = stored(copies.select("doc", "key", F.lit(0).alias("lo"), F.col("n").alias("hi")), "copies")
