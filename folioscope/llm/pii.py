@@ -4,8 +4,8 @@ The patterns give the base spans (email, ip, card, phone). The network, written
 a bounded sample of distinct windows around base spans and around quoted secrets (SAMPLE of each kind, by a hash of the
 window; QUIET windows without any), each once as it is and VARIANTS times with its span written as people write
 it to get past patterns: spelled-out or bracketed signs, blanks around them, other separators, no plus. It reads every
-character of a text in both directions, in overlapping windows. Scores of a character in two windows are averaged,
-weighted by how central it is, and one Viterbi pass over the whole text decides on tags (outside, begin or inside of a
+character of a text in both directions, in overlapping windows. Where two overlap, scores are averaged, weighted by
+how far inside its window a character is, and one Viterbi pass over the whole text decides on tags (outside, begin or inside of a
 kind). A decoded span is added if it doesn't touch a base span, its tags beat "outside" by MARGIN on average, and it
 holds what its kind must hold (four numbers up to 255, digits that pass Luhn, an address once the spelled-out signs are
 put back, ...). Besides the kinds of the patterns the network adds `secret`, long random tokens, listed after them.
@@ -41,10 +41,10 @@ DIGIT = re.compile(r"[0-9]")
 SECRET = re.compile(r"[=:] ?\"([A-Za-z0-9+/_=-]{20,})\"")
 
 SAMPLE, QUIET, VARIANTS, AROUND = 300, 600, 2, 48
-#: Characters of the windows that are decoded, their distance, and how many go together; characters of those learned from.
-WINDOW, STRIDE, TOGETHER = 256, 208, 512
+#: Characters of the windows that are decoded, how far they overlap, and how many go together; characters of those learned from.
+WINDOW, OVERLAP, TOGETHER = 256, 24, 1024
 TAUGHT = 160
-HIDDEN, STEPS, BATCH, RATE = 8, 600, 48, 0.02
+HIDDEN, STEPS, BATCH, RATE = 8, 500, 40, 0.02
 MARGIN = 1.0
 TAGS = 1 + 2 * len(ALL)
 #: Characters that are a kind of their own, besides letters, which are in either case one kind each and carry it in CASE.
@@ -320,7 +320,10 @@ class Network:
         """Places where the best path must be outside. A run of other tags gains at most the sum of v over it and what its end adds;
         a place is sure if no run through it can gain anything, and the best run through it is one of two largest sums."""
         t = self.p["t"].astype(np.float64)
-        v = (e[:, 1:].max(1) - e[:, 0]).astype(np.float64) + t[:, 1:].max() - t[0, 0]
+        best = e[:, 1].copy()
+        for k in range(2, TAGS):
+            np.maximum(best, e[:, k], out=best)
+        v = (best - e[:, 0]).astype(np.float64) + t[:, 1:].max() - t[0, 0]
         end = t[1:, 0].max() - t[0, 0]
         c = np.concatenate([[0.0], np.cumsum(v)])
         before = c[1:] - np.minimum.accumulate(c[:-1])  # the best run that ends here
@@ -357,30 +360,45 @@ class Network:
         return out
 
 
-CENTRAL = (1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1])).astype(np.float32)[:, None]
+#: What a window counts for where it overlaps the one before and the one after; both together count once.
+RISE = (np.arange(1, OVERLAP + 1) / (OVERLAP + 1)).astype(np.float32)[:, None, None]
 
 
 def scores(network: Network, kinds: list[np.ndarray]) -> list[np.ndarray]:
     """Tag scores of every character of every text, from overlapping windows over each whole text."""
-    starts = [np.arange(0, max(len(k) - (WINDOW - STRIDE), 1), STRIDE) for k in kinds]
+    stride = WINDOW - OVERLAP
+    starts = [np.arange(0, max(len(k) - OVERLAP, 1), stride) for k in kinds]
     base = np.cumsum([0, *map(len, kinds)])
     flat = np.concatenate([*kinds, np.zeros(WINDOW, np.uint8)])
     of = np.repeat(np.arange(len(kinds)), [len(s) for s in starts])
-    start = np.concatenate(starts) + base[of] if len(of) else np.zeros(0, np.int64)
-    room = base[of + 1] - start if len(of) else start
-    total, weight = np.zeros((base[-1], TAGS), np.float32), np.zeros((base[-1], 1), np.float32)
+    own = np.concatenate(starts) if len(of) else np.zeros(0, np.int64)
+    start, room = own + base[of], base[of + 1] - base[of] - own
+    total = np.zeros((base[-1], TAGS), np.float32)
     for at in range(0, len(start), TOGETHER):
-        s, r = start[at : at + TOGETHER], room[at : at + TOGETHER]
+        s, r, before = start[at : at + TOGETHER], room[at : at + TOGETHER], own[at : at + TOGETHER] > 0
         x = flat[s[None, :] + np.arange(WINDOW)[:, None]]
         x[np.arange(WINDOW)[:, None] >= r[None, :]] = 0
         e = network.emissions(x)
+        e[:OVERLAP, before] *= RISE
+        e[WINDOW - OVERLAP :, r > WINDOW] *= RISE[::-1]
         for c, (lo, n) in enumerate(zip(s.tolist(), np.minimum(r, WINDOW).tolist(), strict=True)):
-            total[lo : lo + n] += e[:n, c] * CENTRAL[:n]
-            weight[lo : lo + n] += CENTRAL[:n]
-    total /= np.maximum(weight, 1e-9)
+            total[lo : lo + n] += e[:n, c]
     return [total[a:b] for a, b in zip(base[:-1], base[1:], strict=True)]
 
 
+#: How far a span is led on to the ends of the words in which it starts and ends.
+WORD = 64
+
+
+def whole_words(text: str, lo: int, hi: int) -> tuple[int, int]:
+    s, e = lo, hi
+    while 0 < s and s > lo - WORD and s < hi and text[s].isalnum() and text[s - 1].isalnum():
+        s -= 1
+    while e < len(text) and e < hi + WORD and e > lo and text[e].isalnum() and text[e - 1].isalnum():
+        e += 1
+    return s, e
+
+
 def decoded(network: Network, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Spans that the network finds in each text, before they are held against the base ones."""
     out: list[list] = []
@@ -399,6 +417,7 @@ def decoded(network: Network, texts: list[str]) -> list[list[tuple[int, int, int
                     lo += 1
                 while lo < hi and text[hi - 1].isspace():
                     hi -= 1
+                lo, hi = whole_words(text, lo, hi)
                 if holds(k, text[lo:hi]):
                     found.append((k, lo, hi))
             at = int(np.searchsorted(marks, end))
