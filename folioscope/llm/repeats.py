@@ -11,8 +11,13 @@ known as copies by their digest. Of the HALF-byte strings only those that are le
 ranked (about one in 25): equal windows choose alike, so every repeated window has a ranked position in common with
 its earlier occurrence. And each ranked position carries the name of its whole surroundings: a later one in the same
 surroundings is a repeat in all its windows and goes no further, so only windows at the edges of repeats are ranked
-at full length. A passage that very many texts share is no hot group: facts of a rank are partial aggregates, which
-come back to the positions by a join that Spark can split, and repeats within a block of texts are settled in its task.
+at full length.
+
+Groups are sorted by windows, but for two kinds of positions, which are dealt out evenly instead. Repeats of an earlier
+position within a block of texts are settled in their task. And the ranks that make up at least one in HOT of the
+positions of a sample of the texts (at most HOT names, broadcast) are settled afterwards by partial aggregates and a
+join that Spark can split, so that a passage that very many texts share is no hot group. The sample decides only on
+which way a rank is settled, not on how.
 
 Order is by doc_id, then offset; a null doc_id comes first. Null text is empty. A document is a doc_id, null or not,
 with a text (its 64-bit hash): rows that share both are one document with one result each, and texts that share an id
@@ -25,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.bytescan import BASE, INVERSE, Block, U, blocks, mix, powers, scanned, span
@@ -35,6 +40,9 @@ HALF = 50
 LENGTH = 2 * HALF
 TOP = U(2**64 - 1)
 NULL_ID = -(1 << 63)
+#: A rank is hot with more than this part of all positions, by a sample of one text in SAMPLE.
+HOT, SAMPLE = 500, 64
+SETTLED, OPEN = 1, 2
 
 
 def slide(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -117,13 +125,44 @@ def again_here(doc: np.ndarray, key: np.ndarray, at: np.ndarray, *names: np.ndar
     return out
 
 
-def apart(names: np.ndarray, own: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Names as they are, or for what is settled one of its own, so that it is dealt out evenly and meets nothing."""
-    return np.where(own, mix(at.astype(U) * U(0xD1342543DE82EF95) + of.astype(U) * U(BASE) + mix(names)), names)
+class Hot:
+    """The names that very many positions share, sorted."""
+
+    def __init__(self, names: list[int]):
+        self.names = np.sort(np.array(names, np.int64).view(U))
+
+    def states(self, names: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """SETTLED for repeats of the same block, OPEN and a hot name's number, else 0."""
+        out = np.zeros(len(names), np.int32)
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            out = np.where(self.names[at] == names, OPEN + at, 0).astype(np.int32)
+        out[own] = SETTLED
+        return out
+
+
+def hot_names(rows: DataFrame) -> Hot:
+    """The names in rank that make up more than one in HOT of rows."""
+    counts = stored(rows.groupBy("rank").agg(F.count("*").alias("n")), "sampled-ranks")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    out = Hot([r["rank"] for r in counts.filter(F.col("n") * HOT > total).filter("n > 2").collect()])
+    discard(counts)
+    return out
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.pmod(F.xxhash64("key", "doc", F.lit(5)), F.lit(SAMPLE)) == 0)
+
 
+def columns(names: np.ndarray, doc: np.ndarray, key: np.ndarray, at: np.ndarray, own: np.ndarray, hot: Hot, more: np.ndarray) -> list:
+    """Arrays of rank, the other name, doc, key, at and state; what is not settled by its rank gets one of its own."""
+    state = hot.states(names, own)
+    alone = mix(at.astype(U) * U(0xD1342543DE82EF95) + key.view(U) + doc.view(U) * U(BASE))
+    return [pa.array(x) for x in (np.where(state > 0, alone, names).view(np.int64), more.view(np.int64), doc, key, at, state)]
 
-def ranked(docs: DataFrame) -> DataFrame:
-    """rank, around, doc, key, at, own: the chosen positions of every text, of copies in one task only the earliest. own: settled as a repeat."""
+
+def ranked(docs: DataFrame, hot: Hot) -> DataFrame:
+    """rank, around, doc, key, at, state: the chosen positions of every text, of copies in one task only the earliest."""
 
     def run(batches):
         seen: dict[bytes, int] = {}
@@ -139,18 +178,17 @@ def ranked(docs: DataFrame) -> DataFrame:
                 r = Ranks(block)
                 at = r.chosen()
                 of = np.searchsorted(block.begin, at, "right") - 1
-                doc, key, at0 = ids[block.lo + of], keys[block.lo + of], (at - block.begin[of]).astype(np.int32)
+                doc, key, place = ids[block.lo + of], keys[block.lo + of], (at - block.begin[of]).astype(np.int32)
                 around = r.around(at, of)
-                own = again_here(doc, key, at0, r.rank[at], around)
-                cols = [apart(r.rank[at], own, at, of).view(np.int64), around.view(np.int64), doc, key, at0, own]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rank", "around", "doc", "key", "at", "own"])
+                own = again_here(doc, key, place, r.rank[at], around)
+                yield pa.RecordBatch.from_arrays(columns(r.rank[at], doc, key, place, own, hot, around), ["rank", "around", "doc", "key", "at", "state"])
 
     find_code(docs.sparkSession)
-    return docs.mapInArrow(run, "rank long, around long, doc long, key long, at int, own boolean")
+    return docs.mapInArrow(run, "rank long, around long, doc long, key long, at int, state int")
 
 
-def doubled(docs: DataFrame) -> DataFrame:
-    """rank, second, doc, key, at, own: at LENGTH bytes, for the windows of the positions in the column `open`."""
+def doubled(docs: DataFrame, hot: Hot) -> DataFrame:
+    """rank, second, doc, key, at, state: at LENGTH bytes, for the windows of the positions in the column `open`."""
 
     def run(batches):
         for b in batches:
@@ -161,40 +199,42 @@ def doubled(docs: DataFrame) -> DataFrame:
                 counts = np.diff(part.offsets.to_numpy())
                 at = r.windows_of(np.sort(part.flatten().to_numpy() + np.repeat(block.begin, counts)))
                 of = np.searchsorted(block.begin, at, "right") - 1
-                doc, key, at0 = ids[block.lo + of], keys[block.lo + of], (at - block.begin[of]).astype(np.int32)
+                doc, key, place = ids[block.lo + of], keys[block.lo + of], (at - block.begin[of]).astype(np.int32)
                 rank, second = r.doubled(at)
-                own = again_here(doc, key, at0, rank, second)
-                cols = [apart(rank, own, at, of).view(np.int64), second.view(np.int64), doc, key, at0, own]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["rank", "second", "doc", "key", "at", "own"])
+                own = again_here(doc, key, place, rank, second)
+                yield pa.RecordBatch.from_arrays(columns(rank, doc, key, place, own, hot, second), ["rank", "second", "doc", "key", "at", "state"])
 
     find_code(docs.sparkSession)
-    return docs.mapInArrow(run, "rank long, second long, doc long, key long, at int, own boolean")
-
-
-def unsettled(rows: DataFrame) -> DataFrame:
-    """rows whose rank occurs more than once, and those that are settled. Only the ranks themselves are counted, by partial sums."""
-    twice = rows.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank", F.lit(True).alias("twice"))
-    return rows.join(twice.hint("merge"), "rank", "left").filter("own or twice").drop("twice")
+    return docs.mapInArrow(run, "rank long, second long, doc long, key long, at int, state int")
 
 
 def later(rows: DataFrame, names: list[str]) -> DataFrame:
-    """rows with again: whether an earlier row has the same names. Equal (doc, key, at) come from repeated rows and share a place in the order."""
+    """rows with again: whether an earlier row has the same names. Partial aggregates, and a join that Spark can split."""
     place = F.struct("doc", "key", "at")
     groups = rows.groupBy(*names).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
-    return rows.join(groups.hint("merge"), names, "left").withColumn("again", F.col("own") | F.coalesce(place != F.col("first"), F.lit(False))).drop("first")
+    return rows.join(groups.hint("merge"), names, "left").withColumn("again", F.coalesce(place != F.col("first"), F.lit(False))).drop("first")
 
 
 def covers(docs: DataFrame) -> DataFrame:
     """doc, key, lo, hi: bytes that repeat earlier ones; hi may lie past the end of a text. docs: doc, key, text."""
-    live = stored(unsettled(ranked(docs)), "live-ranks")
-    open_ = live.groupBy("rank").agg((F.min("around") != F.max("around")).alias("open"))
-    first = stored(later(live.join(open_.hint("merge"), "rank"), ["rank", "around"]).filter("again or open").select("doc", "key", "at", "again"), "ranked")
-    discard(live)
+    # equal (doc, key, at) come from repeated rows and share a place in the order
+    by_place = ["doc", "key", "at"]
+    rows = ranked(docs, hot_names(ranked(sampled(docs), Hot([])).filter("state = 0")))
+    whole = Window.partitionBy("rank").orderBy("around", *by_place).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("open", F.first("around").over(whole) != F.last("around").over(whole))
+    rows = rows.withColumn("again", (F.col("state") == SETTLED) | (F.rank().over(Window.partitionBy("rank", "around").orderBy(*by_place)) > 1))
+    first = stored(rows.filter("again or open or state >= 2").select("doc", "key", "at", "again", "state", F.when(F.col("state") >= OPEN, F.col("around")).alias("around")), "ranked")
+    hot = first.filter(F.col("state") >= OPEN)
+    several = F.broadcast(hot.groupBy("state").agg((F.min("around") != F.max("around")).alias("open")))
+    hot = later(hot.drop("again").join(several, "state"), ["state", "around"]).filter("again or open")
+    first = stored(first.filter(F.col("state") < OPEN).select(*by_place, "again").unionByName(hot.select(*by_place, "again")), "settled-ranks")
     opened = first.filter("not again").groupBy("doc", "key").agg(F.collect_set("at").alias("open"))
-    windows = doubled(docs.join(opened, ["doc", "key"]).select("doc", "key", "text", "open"))
-    some = stored(unsettled(windows), "live-windows")
-    found = stored(later(some, ["rank", "second"]).filter("again").select("doc", "key", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")), "doubled")
-    discard(some)
+    joined = lambda d: d.join(opened, ["doc", "key"]).select("doc", "key", "text", "open")
+    windows = doubled(joined(docs), hot_names(doubled(joined(sampled(docs)), Hot([])).filter("state = 0")))
+    windows = windows.withColumn("again", (F.col("state") == SETTLED) | (F.rank().over(Window.partitionBy("rank", "second").orderBy(*by_place)) > 1))
+    found = stored(windows.filter("again or state >= 2").select(*by_place, "again", "state", F.when(F.col("state") >= OPEN, F.col("second")).alias("second")), "doubled")
+    hot = later(found.filter(F.col("state") >= OPEN).drop("again"), ["state", "second"]).filter("again").select(*by_place)
+    found = found.filter(F.col("state") < OPEN).select(*by_place).unionByName(hot).select("doc", "key", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
     digests = docs.filter(F.octet_length("text") >= LENGTH).select("doc", "key", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("n"))
     copies = digests.join(digests.groupBy("digest", "n").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least != most").hint("merge"), ["digest", "n"]).filter("doc > least")
     copies = stored(copies.select("doc", "key", F.lit(0).alias("lo"), F.col("n").alias("hi")), "copies")
