@@ -41,7 +41,9 @@ HOT, LONGEST, COST = 48, 16, 2.0
 #: Pairs of one class that a task compares with the same copy of its text.
 FOLLOWERS = 64
 #: Shingles that a task counts together.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: The most frequent shingles, which are dealt out in SALTS parts each before facts of them are put together.
+HOTTEST, SALTS = 256, 64
 
 
 def shingles(block: Block) -> list[np.ndarray]:
@@ -82,6 +84,7 @@ class Order:
         self.token = np.array([r.token for r in found], np.int64).view(np.uint64)
         at = np.argsort(self.token)
         self.token, self.often = self.token[at], np.array([r.n for r in found], np.int64)[at]
+        self.hottest = np.sort(self.token[np.argsort(-self.often, kind="stable")[:HOTTEST]])
 
     def frequency(self, s: np.ndarray) -> np.ndarray:
         if not len(self.token):
@@ -89,6 +92,13 @@ class Order:
         at = np.minimum(np.searchsorted(self.token, s), len(self.token) - 1)
         return np.where(self.token[at] == s, self.often[at], 0)
 
+    def salts(self, token: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Which part of its shingle's rows a row is dealt to; -1 for all but the hottest shingles."""
+        if not len(self.hottest):
+            return np.full(len(token), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hottest, token), len(self.hottest) - 1)
+        return np.where(self.hottest[at] == token, cls.view(U) % U(SALTS), -1).astype(np.int32)
+
     def prefix(self, s: np.ndarray) -> tuple[np.ndarray, int, int]:
         """Prefix shingles, l, and the frequent shingles' part of the set in 255ths."""
         f, n = self.frequency(s), len(s)
@@ -163,7 +173,7 @@ def frequent(texts: DataFrame, clashing: frozenset) -> Order:
 
 
 def prefixes(texts: DataFrame, order: Order) -> DataFrame:
-    """token, cls, size (n in the high and the place in the low 32 bits) and traits (ell and common, 8 bits) of every prefix shingle of every class, once a task."""
+    """token, salt, cls, size (n in the high and the place in the low 32 bits) and traits (ell and common, 8 bits) of every prefix shingle of every class, once a task."""
     ready = sent(texts.sparkSession, order)
 
     def run(batches):
@@ -177,10 +187,12 @@ def prefixes(texts: DataFrame, order: Order) -> DataFrame:
                 size.append((np.int64(len(x)) << 32) | np.arange(len(t)))
                 traits.append(np.full(len(t), (ell << 8) | common, np.int32))
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (cls, size, traits)]], ["token", "cls", "size", "traits"])
+                token, cls = np.concatenate(token), np.concatenate(cls)
+                cols = [token.view(np.int64), ready.value.salts(token, cls), cls, np.concatenate(size), np.concatenate(traits)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "salt", "cls", "size", "traits"])
 
     find_code(texts.sparkSession)
-    return texts.mapInArrow(run, "token long, cls long, size long, traits int")
+    return texts.mapInArrow(run, "token long, salt int, cls long, size long, traits int")
 
 
 def within(x: str, y: str) -> Column:
@@ -250,18 +262,18 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def links(df: DataFrame, held: DataFrame, clashing: frozenset, id_col: str, text: str) -> DataFrame:
-    """All components of classes. held and clashing: classes(df)."""
+def links(df: DataFrame, judged_: DataFrame, clashing: frozenset, id_col: str, text: str) -> DataFrame:
+    """All components of classes. judged_ and clashing: classes(df)."""
     words = df.filter(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(text).alias("text"))
     rows = prefixes(words, frequent(words, clashing))
-    # shingles of one class go first; a class that several tasks saw has the same rows from each, and leaves one
-    shared = rows.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo != hi").select("token")
-    several = rows.join(shared.hint("merge"), "token").distinct()
-    several = several.select("token", "cls", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), F.shiftright("traits", 8).alias("ell"), F.col("traits").bitwiseAND(F.lit(255)).alias("common"))
-    several = stored(several, "shared-prefixes")
-    by_token = several.groupBy("token").agg(F.count("*").alias("m"), F.max(F.struct("common", "n", "cls"))["cls"].alias("leader"))
-    index = stored(several.join(by_token, "token"), "prefixes")
-    discard(several)
+    # dealt by shingle and salt, all that follows needs no other shuffle; a class that several tasks saw has the same rows from each, and leaves one
+    once = rows.repartition("token", "salt").groupBy("token", "salt", "cls").agg(F.max("size").alias("size"), F.max("traits").alias("traits"))
+    once = once.select("token", "salt", "cls", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), F.shiftright("traits", 8).alias("ell"), F.col("traits").bitwiseAND(F.lit(255)).alias("common"))
+    group, top = Window.partitionBy("token", "salt"), lambda: F.max(F.struct("common", "n", "cls"))
+    held = stored(once.withColumn("m", F.count("*").over(group)).filter("m > 1 or salt >= 0").withColumn("leader", top().over(group)["cls"]), "prefixes")
+    salted = held.filter("salt >= 0").drop("m", "leader")
+    whole = F.broadcast(salted.groupBy("token").agg(F.count("*").alias("m"), top()["cls"].alias("leader")))  # HOTTEST rows at most
+    index = held.filter("salt < 0").unionByName(salted.join(whole, "token").filter("m > 1")).drop("salt")
     hot = index.filter(F.col("m") > HOT)
     facts = stored(index.groupBy("cls").agg(F.count_if(F.col("m") > HOT).alias("h"), F.count_if(F.col("m") <= HOT).alias("f")), "class-facts")
     few = index.filter(F.col("m") <= HOT).select("token", "cls", "n", "pos", "ell")
@@ -278,7 +290,7 @@ def links(df: DataFrame, held: DataFrame, clashing: frozenset, id_col: str, text
     led = hot.filter("cls != leader").groupBy("cls", "leader").agg(F.count("*").alias("s")).select(F.col("cls").alias("a"), F.col("leader").alias("b"), "s")
     either = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")).unionByName(led)
     best = either.groupBy("a").agg(F.max(F.struct("s", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
-    first = held.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("cls", "f.doc_id", "f.text_hash")
+    first = judged_.filter("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("f")).select("cls", "f.doc_id", "f.text_hash")
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     tried = stored(best, "tried")
     found = stored(verified(tried, first, docs), "links")
@@ -300,7 +312,7 @@ def links(df: DataFrame, held: DataFrame, clashing: frozenset, id_col: str, text
         both = components(found.unionByName(late))
         discard(comp, late)
         comp = both
-    discard(index, facts, near, tried, rest, found)
+    discard(held, facts, near, tried, rest, found)
     return comp
 
 
