@@ -31,24 +31,35 @@ LIGATURES = [
     ("Ÿ", "•"), (" ", " "), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"),
 ]
 
-# Words with a dropped glyph (U+FFFD, here as ?) and what they are, in order of replacement.
+# Words with a dropped glyph (U+FFFD) and what they are, in order of replacement.
 KNOWN_WORDS = [
-    ("ce?riaxona", "ceftriaxona"), ("Ce?riaxona", "Ceftriaxona"), ("ce?riaxone", "ceftriaxone"), ("Ce?riaxone", "Ceftriaxone"),
-    ("Bo?om", "Bottom"), ("bo?om", "bottom"), ("a?ached", "attached"), ("A?ached", "Attached"), ("di?cil", "difícil"), ("Di?cil", "Difícil"),
-    ("con?ene", "contiene"), ("Con?ene", "Contiene"), ("pharmaceu?cals", "pharmaceuticals"), ("Pharmaceu?cals", "Pharmaceuticals"),
-    ("úl?mo", "último"), ("e?queta", "etiqueta"), ("me?lo", "metilo"), ("ac?vo", "activo"), ("ac?va", "activa"),
-    ("an?helmín?co", "antihelmíntico"), ("Vida ú?l", "Vida útil"), ("sus?tución", "sustitución"), ("garan?za", "garantiza"),
-    ("iden?ficar", "identificar"), ("inves?gar", "investigar"), ("efe?vos", "efectivos"), ("Ges?ón", "Gestión"), ("can?dad", "cantidad"),
-    ("repe?r", "repetir"), ("par?cular", "particular"), ("compa?ble", "compatible"), ("mul?plicar", "multiplicar"), ("alterna?va", "alternativa"),
-    ("Alterna?va", "Alternativa"), ("obje?vo", "objetivo"), ("sen?do", "sentido"), ("intes?nal", "intestinal"), ("Intes?nal", "Intestinal"),
-    ("adver?da", "advertida"), ("sor?tol", "sorbitol"), ("Sor?tol", "Sorbitol"), ("Prin?ng", "Printing"), ("prin?ng", "printing"),
-    ("Prin?ng Overlay", "Printing Overlay"), ("Prin?ng Zone", "Printing Zone"), ("Non Prin?ng Area", "Non Printing Area"),
-    ("Pas?ng Side", "Pasting Side"), ("pas?ng side", "pasting side"), ("de ?tanio", "de Titanio"), ("De ?tanio", "De Titanio"),
-    ("?tanio", "Titanio"), ("?tanio Dióxido", "Titanio Dióxido"), ("?stulas", "fístulas"), ("?stula", "fístula"), ("F?stulas", "Fístulas"),
-    ("pancrea??s", "pancreatitis"), ("Pancrea??s", "Pancreatitis"), ("derma??s", "dermatitis"), ("Derma??s", "Dermatitis"),
-    ("estoma??s", "estomatitis"), ("Estoma??s", "Estomatitis"), ("hepa??s", "hepatitis"), ("Hepa??s", "Hepatitis"),
+    ("ce\ufffdriaxona", "ceftriaxona"), ("Ce\ufffdriaxona", "Ceftriaxona"), ("ce\ufffdriaxone", "ceftriaxone"), ("Ce\ufffdriaxone", "Ceftriaxone"),
+    ("Bo\ufffdom", "Bottom"), ("bo\ufffdom", "bottom"), ("a\ufffdached", "attached"), ("A\ufffdached", "Attached"), ("di\ufffdcil", "difícil"), ("Di\ufffdcil", "Difícil"),
+    ("con\ufffdene", "contiene"), ("Con\ufffdene", "Contiene"), ("pharmaceu\ufffdcals", "pharmaceuticals"), ("Pharmaceu\ufffdcals", "Pharmaceuticals"),
+    ("úl\ufffdmo", "último"), ("e\ufffdqueta", "etiqueta"), ("me\ufffdlo", "metilo"), ("ac\ufffdvo", "activo"), ("ac\ufffdva", "activa"),
+    ("an\ufffdhelmín\ufffdco", "antihelmíntico"), ("Vida ú\ufffdl", "Vida útil"), ("sus\ufffdtución", "sustitución"), ("garan\ufffdza", "garantiza"),
+    ("iden\ufffdficar", "identificar"), ("inves\ufffdgar", "investigar"), ("efe\ufffdvos", "efectivos"), ("Ges\ufffdón", "Gestión"), ("can\ufffddad", "cantidad"),
+    ("repe\ufffdr", "repetir"), ("par\ufffdcular", "particular"), ("compa\ufffdble", "compatible"), ("mul\ufffdplicar", "multiplicar"), ("alterna\ufffdva", "alternativa"),
+    ("Alterna\ufffdva", "Alternativa"), ("obje\ufffdvo", "objetivo"), ("sen\ufffddo", "sentido"), ("intes\ufffdnal", "intestinal"), ("Intes\ufffdnal", "Intestinal"),
+    ("adver\ufffdda", "advertida"), ("sor\ufffdtol", "sorbitol"), ("Sor\ufffdtol", "Sorbitol"), ("Prin\ufffdng", "Printing"), ("prin\ufffdng", "printing"),
+    ("Prin\ufffdng Overlay", "Printing Overlay"), ("Prin\ufffdng Zone", "Printing Zone"), ("Non Prin\ufffdng Area", "Non Printing Area"),
+    ("Pas\ufffdng Side", "Pasting Side"), ("pas\ufffdng side", "pasting side"), ("de \ufffdtanio", "de Titanio"), ("De \ufffdtanio", "De Titanio"),
+    ("\ufffdtanio", "Titanio"), ("\ufffdtanio Dióxido", "Titanio Dióxido"), ("\ufffdstulas", "fístulas"), ("\ufffdstula", "fístula"), ("F\ufffdstulas", "Fístulas"),
+    ("pancrea\ufffd\ufffds", "pancreatitis"), ("Pancrea\ufffd\ufffds", "Pancreatitis"), ("derma\ufffd\ufffds", "dermatitis"), ("Derma\ufffd\ufffds", "Dermatitis"),
+    ("estoma\ufffd\ufffds", "estomatitis"), ("Estoma\ufffd\ufffds", "Estomatitis"), ("hepa\ufffd\ufffds", "hepatitis"), ("Hepa\ufffd\ufffds", "Hepatitis"),
 ]
 
+# Runs that GBK makes of UTF-8 bytes, and what a repaired run may hold.
+FOREIGN = "[\u3000-\u303f\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef]+"
+PLAUSIBLE = r"^[\u0000-\u024f\u2000-\u20cf\u2122]+$"
+
+# Characters beyond ASCII that belong in a text.
+EXPECTED = "ÁÉÍÓÚÜÑáéíóúüñ¿¡ºª°±®©‘’“”–—…·€\u00a0•çãâõö«»≤≥αβγµ™"
+
+# What is cut from a font's name, in order, and the words in it that mean bold or slanted.
+FONT_SUFFIXES = ["-Bold", "-Italic", "-BoldItalic", "-Regular", "Bold", "Italic", "Regular", "Light", "Medium", "-MT", "MT", "-PS", "PS"]
+BOLD_WORDS, ITALIC_WORDS = ["bold", "black", "heavy", "demi"], ["italic", "oblique", "slant"]
+
 # Header labels and their canonical names (substring of the label key).
 HEADER_LABELS = [
     ("product name", "product name"), ("ac reference", "ac reference"), ("ac ref", "ac reference"), ("component type", "component type"),
@@ -75,6 +86,8 @@ ROW_BAND_PT, AC_EDGE_MM = 6.0, 15.0
 NUMBER_SHAPE, VERSION_SHAPE = r"^(?:\d+)$", r"^(?:[\d.]+)$"
 DIMENSION_TOLERANCE_MM, SHEET_TOLERANCE_MM = 0.5, 1.0
 DIMENSION_NUMBER = r"\d+(?:\.\d+)?"
+DIMENSION_SHAPE = r"(?i)^[\d.]+(?:\s*[x×]\s*[\d.]+){1,2}\s*(?:mm)?$"
+INLINE_VALUE = r"(\d[\d.\-/]*)\s*$"
 
 # EAN-13 left odd, left even and right codes of 0 to 9, and the parity rows of the first digit.
 EAN_L = ["0001101", "0011001", "0010011", "0111101", "0100011", "0110001", "0101111", "0111011", "0110111", "0001011"]
@@ -89,9 +102,10 @@ ZONE_FOLD, ZONE_MIN_PT, ZONE_Y_PT = 0.30, 20.0, 12.0
 COLUMN_PT, SPACING_TOLERANCE, SEGMENT_GAP = 40.0, 0.25, 2
 GRID_EPS_PT, GRID_LINE_PT, BAND_PAD_PT, BAND_OVERLAP, ROW_PT = 0.5, 5.0, 20.0, 0.8, 8.0
 PANEL_MIN_MM, NEST_MM, CALLOUT_THIN_MM, CALLOUT_AREA_MM2 = 3.0, 0.5, 0.5, 25.0
-PANEL_ROW_MM, GUTTER_MM, BLOCK_GAP_MM, BODY_FACE = 2.0, 2.0, 2.5, 0.45
+PANEL_ROW_MM, GUTTER_MM, BLOCK_GAP_MM, BODY_FACE, FACE_MM = 2.0, 2.0, 2.5, 0.45, 1.0
 TABLE_EPS_MM, TABLE_LINE_MM, LINE_EPS_MM, MATCH_MM = 0.3, 2.0, 0.6, 0.5
 OUTLINED_PATHS = 120
+INFERRED_SPANS = 2
 SMALL_FONT, RAISED_PT = 0.82, 0.3
 
 # Legends and the phrases that name them, in order; warnings; patterns.

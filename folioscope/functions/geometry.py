@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope import config
+from folioscope.functions.columns import let
 
 
 def mm(pt: Column) -> Column:
@@ -44,25 +45,38 @@ def channels_hex(c: Column) -> Column:
 
 
 def channel(color: Column, i: int) -> Column:
-    return F.conv(F.substring(color, 2 * i + 2, 2), 16, 10).cast("int")
+    """Red, green or blue of a hex colour, with or without its sign."""
+    return F.conv(F.substring(color, 2 * i + 1, 2), 16, 10).cast("int")
 
 
 def is_annotation_color(color: Column) -> Column:
-    """Within the tolerance of a palette colour in every channel; false for what is no colour."""
-    c = F.lower(color)
-    near = F.lit(False)
-    for p in config.ANNOTATION_COLORS:
-        rgb = [int(p[i : i + 2], 16) for i in (1, 3, 5)]
-        near = near | ((F.abs(channel(c, 0) - rgb[0]) <= config.COLOR_TOLERANCE) & (F.abs(channel(c, 1) - rgb[1]) <= config.COLOR_TOLERANCE) & (F.abs(channel(c, 2) - rgb[2]) <= config.COLOR_TOLERANCE))
-    return F.coalesce(c.rlike("^#[0-9a-f]{6}$") & near, F.lit(False))
+    """Within the tolerance of a palette colour in every channel; false for what does not start with six hex digits."""
+
+    def near(c: Column) -> Column:
+        out = F.lit(False)
+        for p in config.ANNOTATION_COLORS:
+            rgb = [int(p[i : i + 2], 16) for i in (1, 3, 5)]
+            out = out | ((F.abs(c[0] - rgb[0]) <= config.COLOR_TOLERANCE) & (F.abs(c[1] - rgb[1]) <= config.COLOR_TOLERANCE) & (F.abs(c[2] - rgb[2]) <= config.COLOR_TOLERANCE))
+        return out
+
+    digits = F.regexp_extract(F.lower(color), "^#*([0-9a-f]{6})", 1)
+    return F.coalesce(F.when(digits != "", let(let(digits, lambda d: F.array(*[channel(d, i) for i in range(3)])), near)), F.lit(False))
 
 
 def is_bold(font: Column, flags: Column) -> Column:
-    return (flags.bitwiseAND(F.lit(1 << 18)) != 0) | F.lower(font).rlike("bold|black|heavy|demi")
+    return (flags.bitwiseAND(F.lit(1 << 18)) != 0) | F.lower(font).rlike("|".join(config.BOLD_WORDS))
 
 
 def is_italic(font: Column, flags: Column) -> Column:
-    return (flags.bitwiseAND(F.lit(1 << 6)) != 0) | F.lower(font).rlike("italic|oblique|slant")
+    return (flags.bitwiseAND(F.lit(1 << 6)) != 0) | F.lower(font).rlike("|".join(config.ITALIC_WORDS))
+
+
+def base_font(font: Column) -> Column:
+    """A font's family: what follows the last plus sign, without the words for weight, slant and maker."""
+    out = F.substring_index(font, "+", -1)
+    for suffix in config.FONT_SUFFIXES:
+        out = F.replace(out, F.lit(suffix), F.lit(""))
+    return F.trim(out)
 
 
 def rotation(dx: Column, dy: Column) -> Column:

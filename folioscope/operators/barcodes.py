@@ -21,8 +21,13 @@ def digit(code: Column, table: list[str]) -> Column:
     return F.when(at > 0, at - 1)
 
 
+def bars_of(drawings: DataFrame, page: list[str]) -> DataFrame:
+    """The rectangles of filled drawings: page and box. Strokes are borders and fold lines."""
+    return drawings.filter(F.col("type").isin("f", "fs")).select(*page, F.explode("items").alias("i")).filter("i.op = 're'").select(*page, "i.x0", "i.y0", "i.x1", "i.y1")
+
+
 def symbols(items: DataFrame, page: list[str]) -> DataFrame:
-    """Filled rectangles (x0, y0, x1, y1) of bar shape as symbols: page, band, run, bars sorted by x0, box.
+    """Filled rectangles (x0, y0, x1, y1) of bar shape as symbols: page, band, run, bars sorted by x0, box, bar_count, bbox_mm, height_mm.
 
     Bars of one band share a top edge with the band's anchor; a gap of BAR_GAP upper-median widths ends a symbol."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -35,8 +40,9 @@ def symbols(items: DataFrame, page: list[str]) -> DataFrame:
     bars = bars.join(widths.select(*keys, mid.alias("width")), keys)
     before = F.lag("x1").over(Window.partitionBy(*keys).orderBy("x0"))
     bars = clusters.islands(bars.withColumn("before", before), keys, ["x0"], F.col("x0") - F.col("before") > config.BAR_GAP * F.col("width"))
-    out = bars.groupBy(*keys, F.col("island").alias("run")).agg(F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("bars"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    return out.filter(F.size("bars") >= config.EAN_MIN_BARS)
+    out = bars.groupBy(*keys, F.col("island").alias("run")).agg(F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("bars"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    out = out.withColumns({"x1": F.element_at("bars", -1)["x1"], "bar_count": F.size("bars")}).filter(F.col("bar_count") >= config.EAN_MIN_BARS)
+    return out.withColumns({"bbox_mm": F.array(*[mm(F.col(e)) for e in ("x0", "y0", "x1", "y1")]), "height_mm": mm(F.col("y1") - F.col("y0"))})
 
 
 def modules(bars: Column, x0: Column, x1: Column) -> Column:
@@ -51,20 +57,33 @@ def modules(bars: Column, x0: Column, x1: Column) -> Column:
 
 
 def decoded(symbols_: DataFrame) -> DataFrame:
-    """symbols with value, reason (why there is none), check_digit_valid, module_width_mm and magnification."""
+    """symbols with value, reason (why there is none), check_digit_valid, check_digit_expected, module_width_mm and magnification.
+
+    The first thing that cannot be read is the reason: no width, the guards, a left or a right digit, the parity."""
     out = symbols_.withColumn("modules", modules(F.col("bars"), F.col("x0"), F.col("x1")))
-    left = [F.substring("modules", 4 + 7 * i, 7) for i in range(6)]
-    right = [F.substring("modules", 51 + 7 * i, 7) for i in range(6)]
-    odd, even = [digit(c, config.EAN_L) for c in left], [digit(c, config.EAN_G) for c in left]
-    parity = F.concat(*[F.when(o.isNotNull(), "0").otherwise("1") for o in odd])
-    digits = [digit(parity, config.EAN_FIRST), *[F.coalesce(o, e) for o, e in zip(odd, even, strict=True)], *[digit(c, config.EAN_R) for c in right]]
+    left, right = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring("modules", 4 + 7 * i, F.lit(7))), F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.substring("modules", 51 + 7 * i, F.lit(7)))
+    out = out.withColumns({"left": left, "right": right})
+    known = F.create_map(*[F.lit(v) for t, mark in ((config.EAN_L, "0"), (config.EAN_G, "1")) for d, c in enumerate(t) for v in (c, mark + str(d))])
+    rights = F.create_map(*[F.lit(v) for d, c in enumerate(config.EAN_R) for v in (c, str(d))])
+    out = out.withColumns({"l": F.transform("left", lambda c: F.try_element_at(known, c)), "r": F.transform("right", lambda c: F.try_element_at(rights, c))})
+    out = out.withColumn("parity", F.array_join(F.transform("l", lambda x: F.substring(x, 1, 1)), ""))
+    first = digit(F.col("parity"), config.EAN_FIRST)
+    unread = lambda codes, digits: F.get(F.filter(F.transform(codes, lambda c, i: F.when(F.get(digits, i).isNull(), c)), F.isnotnull), 0)
     guards = F.col("modules").rlike("^101.{42}01010.{42}101$")
-    out = out.withColumn("value", F.when(guards, F.concat(*[d.cast("string") for d in digits])))
-    width = (F.col("x1") - F.col("x0")) / config.EAN_MODULES
+    out = out.withColumns({"bad_left": unread(F.col("left"), F.col("l")), "bad_right": unread(F.col("right"), F.col("r")), "first": first})
+    reason = (
+        F.when(F.col("x1") <= F.col("x0"), "zero-width bar block").when(~guards, "guard patterns do not match EAN-13")
+        .when(F.col("bad_left").isNotNull(), F.concat(F.lit("unrecognised left chunk "), "bad_left")).when(F.col("bad_right").isNotNull(), F.concat(F.lit("unrecognised right chunk "), "bad_right"))
+        .when(F.col("first").isNull(), F.concat(F.lit("parity "), "parity", F.lit(" is not a valid leading digit")))
+    )
+    value = F.concat(F.col("first").cast("string"), F.array_join(F.transform("l", lambda x: F.substring(x, 2, 1)), ""), F.array_join("r", ""))
+    out = out.withColumn("reason", reason).withColumn("value", F.when(F.col("reason").isNull(), value)).drop("left", "right", "l", "r", "parity", "bad_left", "bad_right", "first")
+    width = F.bround((F.col("x1") - F.col("x0")) / config.EAN_MODULES, 4)
+    expected = check_digit(F.substring("value", 1, 12))
+    read = F.col("value").isNotNull()
     return out.withColumns({
-        "reason": F.when(~guards, "guards_not_found").when(F.col("value").isNull(), "digit_not_decodable"),
-        "check_digit_valid": check_digit(F.substring("value", 1, 12)) == F.substring("value", 13, 1).cast("int"),
-        "module_width_mm": F.bround(width * 25.4 / 72, 4), "magnification_percent": F.bround(width * 25.4 / 72 / config.EAN_MODULE_MM * 100, 1),
+        "check_digit_valid": expected == F.substring("value", 13, 1).cast("int"), "check_digit_expected": expected, "module_width_pt": F.when(read, width),
+        "module_width_mm": F.when(read, F.bround(width * 25.4 / 72, 4)), "magnification_percent": F.when(read, F.bround(width * 25.4 / 72 / config.EAN_MODULE_MM * 100, 1)),
         "width_mm": mm(F.col("x1") - F.col("x0")),
     })
 

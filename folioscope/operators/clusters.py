@@ -30,11 +30,11 @@ def gaps(df: DataFrame, keys: list[str], order: list, lo: str, hi: str, gap: flo
 
 
 def merged(df: DataFrame, keys: list[str], lo: str, hi: str, gap: float, order: list | None = None) -> DataFrame:
-    """df with island, where a row starts one if it begins more than gap after the greatest end so far."""
+    """df with island, where a row starts one if it begins more than gap after the greatest end so far; one that begins at the gap joins."""
     order = order or [lo, hi]
     w = Window.partitionBy(*keys).orderBy(*order)
     before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return islands(df.withColumn("_far", before), keys, order, F.col(lo) - F.col("_far") >= gap).drop("_far")
+    return islands(df.withColumn("_far", before), keys, order, F.col(lo) > F.col("_far") + gap).drop("_far")
 
 
 def touching(boxes: DataFrame, keys: list[str], ord_: str, eps: float) -> DataFrame:

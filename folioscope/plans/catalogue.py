@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscope import config
 from folioscope.functions import geometry, text
-from folioscope.operators import artwork, barcodes, clusters, header, pages
+from folioscope.operators import barcodes, clusters, pages
+from folioscope.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 from folioscope.sources import fixtures, sinks
 
 HEADER_PT = 120.0
@@ -21,10 +22,6 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.fixture(spark, sf, fixtures.PATHS)
 
 
-def headers(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.fixture(spark, sf, fixtures.HEADERS)
-
-
 def corrupt(spark: SparkSession, sf: str) -> DataFrame:
     text.enable_gbk(spark)
     return fixtures.fixture(spark, sf, fixtures.CORRUPT)
@@ -46,37 +43,33 @@ def channel_sql(i: int) -> str:
 
 NEAR_SQL = "(" + " or ".join("(" + " and ".join(f"abs({channel_sql(i)} - {int(c[2 * i + 1 : 2 * i + 3], 16)}) <= {config.COLOR_TOLERANCE}" for i in range(3)) + ")" for c in config.ANNOTATION_COLORS) + ")"
 DIM_SQL = r"regexp_matches(text, '(?i)^\s*[\d.]+\s*mm\s*$')"
-KEY_SQL = r"trim(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9: ]', '', 'g'), '\s+', ' ', 'g')), ':')"
+KEY_SQL = r"trim(trim(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9: ]', ' ', 'g'), '\s+', ' ', 'g')), ':'))"
 MARK_SQL = f"(k in ({in_list(config.MARK_TERMS)}) or " + " or ".join(f"(starts_with(k, '{t} ') and length(k) - {len(t)} <= {config.MARK_SUFFIX})" for t in config.MARK_TERMS) + ")"
 ROUTED_SQL = f"""with fx as ({fixtures.SPANS}), f as (select *, {NEAR_SQL} as near, {DIM_SQL} as dim, {KEY_SQL} as k, y0 < {HEADER_PT} as in_header,
   trim(text) in ({in_list(config.ARROWS)}) as arrow from fx where trim(text) <> ''),
 g as (select *, {MARK_SQL} as mark, not in_header and ((near and dim) or arrow) as annotation, not in_header and dim and not near as dim_miss,
   regexp_matches(trim(text), '^[A-Za-z][A-Za-z0-9 .:/-]{{2,28}}$') and near as mark_shape from f),
 r as (select *, case when annotation then 'annotation' when mark then 'production_mark' when in_header then 'header' else 'body' end as section,
-  dim_miss and not mark as annotation_near_miss, mark_shape and not mark and not annotation as mark_near_miss from g)
+  dim_miss and not mark and not annotation as annotation_near_miss, mark_shape and not mark and not annotation as mark_near_miss from g)
 """
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-    return register
-
 
 @query("route_section_counts", ROUTED_SQL + "select page_no, " + ", ".join(f"count(*) filter (section = '{s}') as n_{s}" for s in pages.SECTIONS) + ", count(*) filter (annotation_near_miss) as n_annotation_near_miss, count(*) filter (mark_near_miss) as n_mark_near_miss from r group by page_no")
 def route_section_counts(spark, sf):
     return pages.section_counts(routed(spark, sf))
 
 
-@query("color_profile", ROUTED_SQL + "select page_no, color_hex, count(*) as spans, not any_value(near) as unknown, not any_value(near) and count(*) filter (dim) >= 2 and count(*) filter (not dim) = 0 as inferred from r where section <> 'production_mark' group by page_no, color_hex")
+@query("color_profile", ROUTED_SQL + "select page_no, color_hex, count(*) as spans, not any_value(near) as unknown, not any_value(near) and count(*) filter (dim and section <> 'annotation') >= 2 and count(*) filter (not dim and section <> 'annotation') = 0 as inferred from r where section <> 'production_mark' group by page_no, color_hex")
 def color_profile(spark, sf):
-    return pages.color_histogram(routed(spark, sf).filter("section != 'production_mark'"))
+    return pages.color_histogram(routed(spark, sf))
+
+
+@query("color_summary", ROUTED_SQL + """, c as (select page_no, color_hex, count(*) as n, not any_value(near) as u, not any_value(near) and count(*) filter (dim and section <> 'annotation') >= 2 and count(*) filter (not dim and section <> 'annotation') = 0 as i from r where section <> 'production_mark' group by page_no, color_hex)
+select page_no, string_agg(color_hex || ':' || n, ',' order by n desc, color_hex) as histogram, coalesce(string_agg(color_hex, ',' order by color_hex) filter (u), '') as unknown_colors, coalesce(string_agg(color_hex, ',' order by color_hex) filter (i), '') as inferred_annotation_colors from c group by page_no""")
+def color_summary(spark, sf):
+    h = pages.histogram(pages.color_histogram(routed(spark, sf)))
+    joined = F.array_join(F.transform("histogram", lambda c: F.concat_ws(":", c["color_hex"], c["spans"].cast("string"))), ",")
+    return h.select("page_no", joined.alias("histogram"), F.array_join("unknown_colors", ",").alias("unknown_colors"), F.array_join("inferred_annotation_colors", ",").alias("inferred_annotation_colors"))
 
 
 COLORS_SQL = "select l_orderkey as k, '#' || lpad(printf('%x', cast(l_partkey * 7919 % 16777216 as bigint)), 6, '0') as color_hex from lineitem"
@@ -88,9 +81,13 @@ def annotation_color_match(spark, sf):
     return df.groupBy("color_hex").agg(F.count("*").alias("n")).withColumn("is_annotation", geometry.is_annotation_color(F.col("color_hex")))
 
 
-@query("production_mark_keys", f"with fx as ({fixtures.SPANS}), f as (select distinct text, {KEY_SQL} as k from fx) select text, k as mark_key, {MARK_SQL} as is_mark from f")
+MARKS = "select p_partkey, case p_partkey % 9 when 0 then 'Pasting-Side 1' when 1 then 'STEREO.print' when 2 then ' Varnish: free;' when 3 then ':scale 1:1:' when 4 then p_name when 5 then 'Stereo printing instructions' when 6 then 'die line ' || (p_partkey % 20000) when 7 then 'gusset (' || (p_partkey % 100) || ')' else 'tuck flap: ' || substr(p_name, 1, 1 + cast(p_partkey % 5 as int)) end as text from part"
+
+
+@query("production_mark_keys", f"with f as (select p_partkey, text, {KEY_SQL} as k from ({MARKS})) select p_partkey, k as mark_key, {MARK_SQL} as is_mark from f")
 def production_mark_keys(spark, sf):
-    return spans(spark, sf).select("text").distinct().select("text", text.mark_key(F.col("text")).alias("mark_key"), text.is_mark(F.col("text")).alias("is_mark"))
+    df = fixtures.fixture(spark, sf, MARKS)
+    return df.select("p_partkey", text.mark_key(F.col("text")).alias("mark_key"), text.is_mark(F.col("text")).alias("is_mark"))
 
 
 @query("repair_ligatures", f"with fx as ({fixtures.CORRUPT}) select doc_id, replace(replace(replace(text, 'Ɵ', 'ti'), 'Ō', 'ft'), 'Ʃ', 'tt') as repaired, cast(length(text) - length(replace(replace(replace(text, 'Ɵ', ''), 'Ō', ''), 'Ʃ', '')) as bigint) as n from fx")
@@ -120,29 +117,35 @@ def page_bbox_mm(spark, sf):
     return pages.extents(spans(spark, sf))
 
 
-FOLDS_SQL = f"""with fx as ({fixtures.PATHS}), w as (select page_no, drawing_id, x0, y0, case when drawing_id % 2 = 0 then x0 + 2 else x1 end as x1, case when drawing_id % 2 = 0 then y0 + 90 else y1 end as y1 from fx where y0 >= 20),
-m as (select page_no, min(x0) as a, max(x1) as b, max(y1) - min(y0) as h from w group by page_no),
-l as (select distinct w.page_no, round_even(w.x0, 0) as x from w join m on w.page_no = m.page_no where w.x1 - w.x0 < 3 and w.y1 - w.y0 >= 0.3 * m.h),
+#: Narrow paths stand at every second one; on every third page they are items of one path instead.
+FOLDS = f"""select page_no, drawing_id, x0 + 0.4 as x0, y0, case when drawing_id % 2 = 0 then x0 + 2 else x1 end as x1, case when drawing_id % 2 = 0 then y0 + 10 * (drawing_id % 4 + 4) else y1 end as y1, page_no % 3 = 0 as compound from ({fixtures.PATHS})"""
+FOLDS_SQL = f"""with w as ({FOLDS}), u as (select page_no, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from w where compound group by page_no),
+d as (select page_no, x0, y0, x1, y1 from w where not compound union all select * from u),
+m as (select page_no, min(x0) as a, max(x1) as b, min(y0) as t, max(y1) as e, greatest(max(y1) - min(y0), 1) as h from d where y0 >= 20 group by page_no),
+l as (select distinct d.page_no, round_even(d.x0, 0) as x from d join m on d.page_no = m.page_no where d.y0 >= 20 and d.x1 - d.x0 < 3 and d.y1 - d.y0 > 0.3 * m.h
+  union select distinct w.page_no, round_even(w.x0, 0) as x from w join m on w.page_no = m.page_no join u on w.page_no = u.page_no where compound and u.y1 > 20 and w.x1 - w.x0 < 3 and w.y1 - w.y0 > 0.3 * m.h and w.y1 > 20),
 n as (select page_no from l group by page_no having count(*) >= 2),
-c as (select page_no, x from l where page_no in (select page_no from n) union select page_no, a from m where page_no in (select page_no from n) union select page_no, b from m where page_no in (select page_no from n)),
-p as (select page_no, x as x0, lead(x) over (partition by page_no order by x) as x1 from c)
+c as (select page_no, x from l where page_no in (select page_no from n) union select page_no, round_even(a, 0) from m where page_no in (select page_no from n) union select page_no, round_even(b, 0) from m where page_no in (select page_no from n)),
+p as (select page_no, x as x0, lead(x) over (partition by page_no order by x) as x1 from c),
+z as (select p.page_no, cast(row_number() over (partition by p.page_no order by p.x0) - 1 as integer) as zone_no, p.x0, p.x1, m.t as y0, m.e as y1 from p join m on p.page_no = m.page_no where p.x1 - p.x0 >= 20)
 """
 
 
 def folds(spark, sf):
-    return paths(spark, sf).withColumns({"x1": F.when(F.col("drawing_id") % 2 == 0, F.col("x0") + 2).otherwise(F.col("x1")), "y1": F.when(F.col("drawing_id") % 2 == 0, F.col("y0") + 90).otherwise(F.col("y1"))})
+    w = fixtures.fixture(spark, sf, FOLDS)
+    items = w.filter("compound").groupBy("page_no").agg(*[f(c).alias(c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))], F.collect_list(F.struct(F.when(F.col("drawing_id") % 2 == 0, "re").otherwise("l").alias("op"), "x0", "y0", "x1", "y1")).alias("items"))
+    return w.filter("not compound").drop("compound", "drawing_id").withColumn("items", F.lit(None).cast(items.schema["items"].dataType)).unionByName(items)
 
 
-@query("zones", FOLDS_SQL + "select page_no, cast(row_number() over (partition by page_no order by x0) - 1 as integer) as zone_no, x0, x1 from p where x1 - x0 >= 20")
+@query("zones", FOLDS_SQL + "select page_no, zone_no, 'panel_' || zone_no as zone_id, x0, x1, y0, y1, round_even((x1 - x0) * 25.4 / 72, 2) as width_mm, round_even((y1 - y0) * 25.4 / 72, 2) as height_mm from z")
 def zones(spark, sf):
     return pages.zones(folds(spark, sf), F.lit(20.0))
 
 
-@query("zone_assignment", FOLDS_SQL + f""", z as (select page_no, row_number() over (partition by page_no order by x0) - 1 as zone_no, x0, x1 from p where x1 - x0 >= 20), s as ({fixtures.SPANS})
-select s.page_no, s.span_id, case when s.page_no in (select page_no from z) then coalesce((select 'z' || cast(min(zone_no) as varchar) from z where z.page_no = s.page_no and (s.x0 + s.x1) / 2 between z.x0 and z.x1 and (s.y0 + s.y1) / 2 between -12 and 312), 'outside') end as zone from s""")
+@query("zone_assignment", FOLDS_SQL + f""", s as ({fixtures.SPANS})
+select s.page_no, s.span_id, case when s.page_no in (select page_no from z) then coalesce((select 'panel_' || cast(min(zone_no) as varchar) from z where z.page_no = s.page_no and (s.x0 + s.x1) / 2 between z.x0 and z.x1 and (s.y0 + s.y1) / 2 between z.y0 - 12 and z.y1 + 12), 'outside') end as zone from s""")
 def zone_assignment(spark, sf):
-    z = pages.zones(folds(spark, sf), F.lit(20.0)).withColumns({"y0": F.lit(0.0), "y1": F.lit(300.0)})
-    return pages.in_zones(spans(spark, sf), z).select("page_no", "span_id", "zone")
+    return pages.in_zones(spans(spark, sf), pages.zones(folds(spark, sf), F.lit(20.0))).select("page_no", "span_id", "zone")
 
 
 ORDER_SQL = f"with fx as ({fixtures.SPANS}), o as (select *, cast(row_number() over (partition by page_no order by round_even(x0 / 40, 0), y0, x0, span_id) as integer) as pos from fx)"
@@ -178,7 +181,7 @@ CHARS_SQL = "select p_partkey, replace(p_name, ' ', case when p_partkey % 3 = 0
 @query("char_segments", rf"with s as ({CHARS_SQL}) select p_partkey, count(*) as n_segments, string_agg(x, '|' order by i) as joined from (select p_partkey, unnest(regexp_split_to_array(trim(t), ' {{2,}}')) as x, generate_subscripts(regexp_split_to_array(trim(t), ' {{2,}}'), 1) as i from s) group by p_partkey")
 def char_segments(spark, sf):
     df = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.replace("p_name", F.lit(" "), F.lit("   "))).otherwise(F.col("p_name")).alias("t"))
-    df = df.select("p_partkey", F.transform(F.split("t", ""), lambda c, i: F.struct(c.alias("c"), (i * 5.0).alias("x0"), (i * 5.0 + 5).alias("x1"))).alias("chars"))
+    df = df.select("p_partkey", F.transform(F.split("t", ""), lambda c, i: F.struct(c.alias("c"), (i * 5.0).alias("x0"), F.lit(0.0).alias("y0"), (i * 5.0 + 5).alias("x1"), F.lit(8.0).alias("y1"))).alias("chars"))
     out = pages.segments(df, ["p_partkey"]).groupBy("p_partkey")
     return out.agg(F.count("*").alias("n_segments"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment_no", "text"))), lambda x: x["text"]), "|").alias("joined"))
 
@@ -190,42 +193,29 @@ def components(spark, sf):
     return clusters.touching(paths(spark, sf), ["page_no"], "drawing_id", 0.5)
 
 
-@query("dedupe_edges", f"""with recursive fx as (select page_no, x1 / 9 as x from ({fixtures.PATHS})), r(page_no, x) as (select page_no, min(x) from fx group by page_no union all
-select page_no, x from (select r.page_no, (select min(fx.x) from fx where fx.page_no = r.page_no and fx.x - r.x > 0.5) as x from r) where x is not null)
-select page_no, count(*) as n_edges, max(x) as last_edge from r group by page_no""")
-def dedupe_edges(spark, sf):
-    a = paths(spark, sf).groupBy("page_no").agg(clusters.anchors(F.collect_list(F.col("x1") / 9), 0.5).alias("a"))
-    return a.select("page_no", F.size("a").cast("long").alias("n_edges"), F.array_max("a").alias("last_edge"))
-
-
-@query("panel_columns", f"""with fx as ({fixtures.SPANS}), o as (select *, max(x1) over (partition by page_no order by x0, x1, span_id rows between unbounded preceding and 1 preceding) as far from fx),
-i as (select *, sum(case when x0 - far >= 2 then 1 else 0 end) over (partition by page_no order by x0, x1, span_id) as c from o),
-g as (select page_no, cast(c as bigint) as column_no, min(x0) as x0, max(x1) as x1, count(*) as n_spans from i group by page_no, c)
-select *, x0 - lag(x1) over (partition by page_no order by column_no) as gutter from g""")
-def panel_columns(spark, sf):
-    return artwork.columns(spans(spark, sf), ["page_no"], "x0", "x1", config.GUTTER_MM, ["x0", "x1", "span_id"])
-
-
-@query("page_kind", f"""with s as ({fixtures.SPANS}), p as ({fixtures.PATHS}), a as (select page_no, count(*) filter (y0 >= 400) as n_text from s group by page_no), b as (select page_no, count(*) filter (y1 > 120) as n_paths from p group by page_no)
-select a.page_no, case when n_text = 0 and n_paths = 0 then 'blank' when n_text = 0 and n_paths >= 120 then 'outlined_text' when n_paths > 0 then 'technical_drawing' else 'illustration' end as page_kind from a join b on a.page_no = b.page_no""")
+@query("page_kind", f"""with s as ({fixtures.SPANS}), p as ({fixtures.PATHS}), a as (select page_no, count(*) filter (y0 >= 400) as n_text from s group by page_no), b as (select page_no, count(*) filter (y1 > 60) * 30 as n_paths from p group by page_no)
+select a.page_no, case when a.page_no % 11 = 0 then 'component' when n_text = 0 and n_paths = 0 then 'blank' when n_text = 0 and a.page_no % 2 = 0 and n_paths >= 120 then 'outlined_text' when n_text = 0 then 'technical_drawing' else 'illustration' end as page_kind from a join b on a.page_no = b.page_no""")
 def page_kind(spark, sf):
     a = spans(spark, sf).groupBy("page_no").agg(F.count_if(F.col("y0") >= 400).alias("n_text"))
-    b = paths(spark, sf).groupBy("page_no").agg(F.count_if(F.col("y1") > 120).alias("n_paths"))
-    return a.join(b, "page_no").select("page_no", pages.page_kind(F.lit(False), F.col("n_text"), F.col("n_paths"), F.lit(0), F.lit(0)).alias("page_kind"))
+    b = paths(spark, sf).groupBy("page_no").agg((F.count_if(F.col("y1") > 60) * 30).alias("n_paths"))
+    return a.join(b, "page_no").select("page_no", pages.page_kind(F.col("page_no") % 11 == 0, F.col("n_text"), F.col("n_paths"), F.col("page_no") % 2).alias("page_kind"))
 
 
-RAISED_SQL = f"""with fx as ({fixtures.SPANS}), f as (select page_no, span_id, text, cast((span_id - 1) // 6 as integer) as block_no, cast((span_id - 1) // 3 as integer) as line_no, case when span_id % 3 = 0 then 4.0 else 8.0 end as size,
-  case when span_id % 3 = 0 and span_id % 2 = 0 then 6.0 else 10.0 end as mid from fx)"""
+RAISED_SQL = f"""with fx as ({fixtures.SPANS}), f as (select page_no, span_id, replace(text, 'si', 'sƟ') as raw, replace(text, 'si', 'sti') as text, cast((span_id - 1) // 6 as integer) as block_no, cast((span_id - 1) // 3 as integer) as line_no, case span_id % 3 when 0 then 4.0 when 1 then 8.0 else 7.0 end as size,
+  case when span_id % 3 = 0 and span_id % 2 = 0 then 6.0 when span_id % 3 = 2 then 11.0 else 10.0 end as mid from fx)"""
 
 
-@query("gpmi_paragraphs", RAISED_SQL + """, g as (select *, max(size) over l as top, avg(case when span_id % 3 <> 0 then mid end) over l as base from f window l as (partition by page_no, block_no, line_no)),
-m as (select *, case when size < 0.82 * top and base - mid > 0.3 then '<sup>' || text || '</sup>' when size < 0.82 * top and mid - base > 0.3 then '<sub>' || text || '</sub>' else text end as t from g),
+@query("gpmi_paragraphs", RAISED_SQL + """, g as (select *, max(size) over l as top from f window l as (partition by page_no, block_no, line_no)),
+h as (select *, avg(case when size >= 0.82 * top then mid end) over (partition by page_no, block_no, line_no) as base from g),
+m as (select *, case when size < 0.82 * top and mid < base - 0.3 then '<sup>' || text || '</sup>' when size < 0.82 * top and mid > base + 0.3 then '<sub>' || text || '</sub>' else text end as t from h),
 n as (select page_no, block_no, line_no, trim(string_agg(t, '' order by span_id)) as t from m group by page_no, block_no, line_no)
 select page_no, block_no, string_agg(t, ' ' order by line_no) as text from n where t <> '' group by page_no, block_no having length(string_agg(t, ' ' order by line_no)) > 1""")
 def gpmi_paragraphs(spark, sf):
+    text.enable_gbk(spark)
     k = F.col("span_id")
-    mid = F.when((k % 3 == 0) & (k % 2 == 0), 6.0).otherwise(10.0)
-    df = spans(spark, sf).select("page_no", "span_id", "text", F.floor((k - 1) / 6).cast("int").alias("block_no"), F.floor((k - 1) / 3).cast("int").alias("line_no"), F.when(k % 3 == 0, 4.0).otherwise(8.0).alias("size"), (mid - 3).alias("y0"), (mid + 3).alias("y1"))
+    mid = F.when((k % 3 == 0) & (k % 2 == 0), 6.0).when(k % 3 == 2, 11.0).otherwise(10.0)
+    size = F.when(k % 3 == 0, 4.0).when(k % 3 == 1, 8.0).otherwise(7.0)
+    df = spans(spark, sf).select("page_no", "span_id", F.replace("text", F.lit("si"), F.lit("sƟ")).alias("text"), F.floor((k - 1) / 6).cast("int").alias("block_no"), F.floor((k - 1) / 3).cast("int").alias("line_no"), size.alias("size"), (mid - 3).alias("y0"), (mid + 3).alias("y1"))
     return pages.paragraphs(df)
 
 
@@ -268,138 +258,4 @@ def barcode_decode(spark, sf):
     return found.select("p_partkey", "value", "check_digit_valid", "width_mm")
 
 
-ALIAS_SQL = "(values " + ", ".join(f"('{a}', '{c}')" for a, c in config.HEADER_LABELS) + ") a(alias, label)"
-HITS_SQL = f"""with fx as ({fixtures.HEADERS}), k as (select *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as key from fx),
-h as (select distinct page_no, span_id, y0, y1, label from k join {ALIAS_SQL} on contains(key, alias))"""
-
-
-@query("header_label_hits", HITS_SQL + " select page_no, span_id, label from h")
-def header_label_hits(spark, sf):
-    return header.label_hits(headers(spark, sf)).select("page_no", "span_id", "label")
-
-
-@query("header_clusters", HITS_SQL + """, b as (select *, lag(y0) over (partition by page_no order by y0, span_id) as before from h), i as (select *, sum(case when y0 - before > 141.7322 then 1 else 0 end) over (partition by page_no order by y0, span_id) as c from b),
-g as (select page_no, c, count(distinct label) as n_labels, min(y0) as y0, max(y1) as y1 from i group by page_no, c)
-select page_no, n_labels, y0, y1 from (select *, row_number() over (partition by page_no order by n_labels desc, y0) as best from g) where best = 1 and n_labels >= 2""")
-def header_clusters(spark, sf):
-    return header.seed_clusters(header.label_hits(headers(spark, sf)), ["page_no"])
-
-
-@query("header_band", "select c_custkey as page_no, 90.0 + 6 as threshold_pt from customer")
-def header_band(spark, sf):
-    h = headers(spark, sf)
-    rows = h.withColumns({"seed": F.size(text.header_labels(text.label_key(F.col("text")))) > 0, "height_pt": F.lit(842.0)})
-    return header.grown_band(rows, ["page_no"])
-
-
-@query("value_for_label", "select c_custkey as page_no, cast(c_nationkey as varchar) as value from customer")
-def value_for_label(spark, sf):
-    return header.values_for(headers(spark, sf), ["page_no"], "version", config.VERSION_SHAPE)
-
-
-@query("ac_reference", "select c_custkey as page_no, cast(c_custkey as varchar) as ac_number, cast(c_nationkey as varchar) as version, 'AC' || c_custkey || 'V.' || c_nationkey as header_combined, case when c_custkey % 3 > 0 then 'on AC ' || c_custkey || ' V' || (c_nationkey + c_custkey % 2) end as on_pack_instance, case when c_custkey % 3 > 0 then c_custkey % 2 = 0 end as consistent from customer")
-def ac_reference(spark, sf):
-    c = spark.read.parquet(f"{sf}/customer.parquet").filter("c_custkey % 3 > 0")
-    more = c.select(F.col("c_custkey").cast("long").alias("page_no"), F.lit(99).alias("span_id"), *[F.lit(v).alias(n) for n, v in (("x0", 20.0), ("y0", 500.0), ("x1", 90.0), ("y1", 508.0))], F.concat(F.lit("on AC "), "c_custkey", F.lit(" V"), F.col("c_nationkey") + F.col("c_custkey") % 2).alias("text"))
-    h = headers(spark, sf)
-    return header.ac_reference(h.unionByName(more), ["page_no"]).select("page_no", "ac_number", "version", "header_combined", "on_pack_instance", "consistent")
-
-
-@query("canonical_fields", f"with fx as ({fixtures.HEADERS}) select page_no, span_id, case span_id when 0 then 'ac_reference' when 2 then 'version' when 4 then 'repeat_outer' else 'dimension' end as canonical from fx where span_id % 2 = 0")
-def canonical_fields(spark, sf):
-    return headers(spark, sf).filter("span_id % 2 = 0").select("page_no", "span_id", text.canonical(F.col("text")).alias("canonical"))
-
-
-RECTS_SQL = f"select page_no, drawing_id, round_even((x1 - x0), 2) as w, round_even((y1 - y0), 2) as h from ({fixtures.PATHS})"
-
-
-@query("dimension_check", f"""with r as ({RECTS_SQL}), p(a, b) as (values (38.0, 38.0), (38.0, 67.0)), d as (select page_no, a, b, min(least(greatest(abs(w - a), abs(h - b)), greatest(abs(w - b), abs(h - a)))) as d from r cross join p group by page_no, a, b)
-select page_no, a, b, d <= 0.5 as matched, round_even(d, 2) as delta_mm from d""")
-def dimension_check(spark, sf):
-    r = paths(spark, sf).select("page_no", F.bround(F.col("x1") - F.col("x0"), 2).alias("w"), F.bround(F.col("y1") - F.col("y0"), 2).alias("h"))
-    declared = r.select("page_no").distinct().withColumn("nums", text.numbers(F.lit("38x38x67 mm")))
-    return header.measured_pairs(declared, r, ["page_no"])
-
-
-@query("header_grid_cells", f"""with recursive fx as ({fixtures.PATHS}), v as (select page_no, x0 as x from fx), h as (select page_no, y1 as y, x0 as lo, x0 + 200 as hi from fx),
-rx(page_no, x) as (select page_no, min(x) from v group by page_no union all select page_no, x from (select rx.page_no, (select min(v.x) from v where v.page_no = rx.page_no and v.x - rx.x > 0.5) as x from rx) where x is not null),
-c as (select page_no, x as x0, lead(x) over (partition by page_no order by x) as x1 from rx), cc as (select * from c where x1 is not null),
-ch as (select distinct cc.page_no, cc.x0, cc.x1, h.y from cc join h on cc.page_no = h.page_no and h.lo <= (cc.x0 + cc.x1) / 2 and h.hi >= (cc.x0 + cc.x1) / 2),
-r as (select page_no, x0, x1, y as y0, lead(y) over (partition by page_no, x0 order by y) as y1 from ch)
-select page_no, x0, x1, y0, y1 from r where y1 is not null""")
-def header_grid_cells(spark, sf):
-    p = paths(spark, sf)
-    rules = p.select("page_no", F.lit(True).alias("vertical"), F.col("x0").alias("at"), F.col("y0").alias("lo"), F.col("y1").alias("hi")).unionByName(p.select("page_no", F.lit(False).alias("vertical"), F.col("y1").alias("at"), F.col("x0").alias("lo"), (F.col("x0") + 200).alias("hi")))
-    return header.grid_cells(rules, ["page_no"]).drop("col_no")
-
-
-WINDOW_SQL = f"""with fx as ({fixtures.SPANS}), l as (select page_no, cast(floor(x0 / 100) as integer) as col, span_id, (y0 + y1) / 2 as yc from fx where text = 'Version'), v as (select page_no, cast(floor(x0 / 100) as integer) as col, span_id, (y0 + y1) / 2 as yc from fx where text <> 'Version'),
-w as (select *, coalesce((lag(yc) over p + yc) / 2, -1e300) as lo, coalesce((lead(yc) over p + yc) / 2, 1e300) as hi from l window p as (partition by page_no, col order by yc, span_id)),
-m as (select w.page_no, w.span_id as label_id, v.span_id as value_id from w join v on w.page_no = v.page_no and v.col = w.col + 1 and v.yc >= w.lo and v.yc < w.hi)"""
-
-
-def windowed(spark, sf):
-    s = spans(spark, sf).select("page_no", F.floor(F.col("x0") / 100).cast("int").alias("col"), "span_id", ((F.col("y0") + F.col("y1")) / 2).alias("yc"), "text")
-    values = s.filter("text != 'Version'").drop("text")
-    return values, header.value_windows(s.filter("text = 'Version'").drop("text"), values, ["page_no"])
-
-
-@query("header_value_windows", WINDOW_SQL + " select * from m")
-def header_value_windows(spark, sf):
-    return windowed(spark, sf)[1]
-
-
-@query("unassigned_spans", WINDOW_SQL + " select page_no, span_id from v where not exists (select 1 from m where m.page_no = v.page_no and m.value_id = v.span_id)")
-def unassigned_spans(spark, sf):
-    return header.unassigned(*windowed(spark, sf), ["page_no"]).select("page_no", "span_id")
-
-
-NESTED_SQL = f"""with fx as ({fixtures.PATHS}), b as (select * from fx where x1 - x0 >= 3 and y1 - y0 >= 3),
-p as (select * from b i where not exists (select 1 from b o where o.page_no = i.page_no and o.drawing_id <> i.drawing_id and o.x0 <= i.x0 + 0.5 and o.y0 <= i.y0 + 0.5 and o.x1 >= i.x1 - 0.5 and o.y1 >= i.y1 - 0.5
-  and not (abs(o.x0 - i.x0) <= 0.5 and abs(o.y0 - i.y0) <= 0.5 and abs(o.x1 - i.x1) <= 0.5 and abs(o.y1 - i.y1) <= 0.5)))"""
-
-
-def wide(spark, sf):
-    return artwork.panels(paths(spark, sf), ["page_no"], "drawing_id")
-
-
-@query("panels_not_nested", NESTED_SQL + " select page_no, drawing_id from p")
-def panels_not_nested(spark, sf):
-    return wide(spark, sf).select("page_no", "drawing_id")
-
-
-@query("panel_addresses", NESTED_SQL.replace("with fx", "with recursive fx") + """, r(page_no, y) as (select page_no, min(y0) from p group by page_no union all select page_no, y from (select r.page_no, (select min(p.y0) from p where p.page_no = r.page_no and p.y0 - r.y > 2.0) as y from r) where y is not null),
-a as (select page_no, y, row_number() over (partition by page_no order by y) as n from r), j as (select p.page_no, p.drawing_id, p.x0, a.n, row_number() over (partition by p.page_no, p.drawing_id order by abs(a.y - p.y0), a.n) as best from p join a on p.page_no = a.page_no)
-select page_no, drawing_id, cast(n as integer) as grid_row, cast(row_number() over (partition by page_no, n order by x0, drawing_id) as integer) as grid_col from j where best = 1""")
-def panel_addresses(spark, sf):
-    return artwork.addresses(wide(spark, sf), ["page_no"], "drawing_id").select("page_no", "drawing_id", F.col("grid_row").cast("int"), "grid_col")
-
-
-@query("panel_layout", NESTED_SQL + """, f as (select *, (x1 - x0) * (y1 - y0) as s, max((x1 - x0) * (y1 - y0)) over (partition by page_no) as m from p), g as (select page_no, count(*) as body_face_count, count(distinct round_even(x0, 1)) as nx, count(distinct round_even(y0, 1)) as ny from f where s >= 0.45 * m group by page_no)
-select page_no, body_face_count, case when ny > nx then 'vertical' when nx > ny then 'horizontal' end as body_face_run_axis, case when ny > nx then 'Side Open' when nx > ny then 'Top Open' end as derived_style from g""")
-def panel_layout(spark, sf):
-    return artwork.layout(wide(spark, sf), ["page_no"])
-
-
-@query("text_blocks", f"""with fx as ({fixtures.SPANS}), g as (select *, lag(y1) over w as before from fx window w as (partition by page_no order by y0, x0, span_id)), i as (select *, sum(case when y0 - before > 2.5 then 1 else 0 end) over (partition by page_no order by y0, x0, span_id) as b from g)
-select page_no, cast(b as bigint) as block_no, string_agg(text, ' ' order by y0, x0, span_id) as text, count(*) as span_count from i group by page_no, b""")
-def text_blocks(spark, sf):
-    return artwork.loose_blocks(spans(spark, sf), ["page_no"]).select("page_no", "block_no", "text", "span_count")
-
-
-LEGENDS_SQL = "select p_partkey, case p_partkey % 6 when 0 then 'Composición: cada tableta' when 1 then 'Lote No. y Sodio: aviso' when 2 then '30 Tabletas Para uso oral' when 3 then 'Storage: store in a dry place' when 4 then 'Vida útil 30 meses AC 12 V.3' else p_name end as text from part"
-
-
-@query("legends", "select p_partkey, case p_partkey % 6 when 0 then 'composition' when 1 then 'batch_coding,warning_sodio' when 2 then 'unit_of_dosage,route_short' when 3 then 'storage' when 4 then 'shelf_life,ac_reference' else '' end as legends from part")
-def legends(spark, sf):
-    df = fixtures.fixture(spark, sf, LEGENDS_SQL)
-    return df.select("p_partkey", F.array_join(text.legends(F.col("text")), ",").alias("legends"))
-
-
-@query("callouts", f"""with s as ({fixtures.SPANS}), p as ({fixtures.PATHS}), l as (select page_no, span_id, cast(regexp_extract(text, '[0-9]+') as double) as declared, (x0 + x1) / 2 as cx, (y0 + y1) / 2 as cy from s where text like '% mm'),
-c as (select distinct l.page_no, l.span_id, l.declared, l.cx, p.x0 as at from l join p on l.page_no = p.page_no and l.cy >= p.y0 - 0.6 and l.cy <= p.y0 + 300 + 0.6),
-q as (select a.page_no, a.span_id, a.declared, a.at as lo, b.at as hi, row_number() over (partition by a.page_no, a.span_id order by abs(b.at - a.at - a.declared), a.at, b.at) as n from c a join c b on a.page_no = b.page_no and a.span_id = b.span_id and a.at <= a.cx and b.at >= b.cx and b.at > a.at)
-select l.page_no, l.span_id, l.declared, q.lo as lo_mm, q.hi as hi_mm, q.hi - q.lo as measured_mm, abs(q.hi - q.lo - l.declared) <= 0.5 as matches_label from l left join q on l.page_no = q.page_no and l.span_id = q.span_id and q.n = 1""")
-def callouts(spark, sf):
-    lines = paths(spark, sf).select("page_no", "x0", F.col("x0").alias("x1"), "y0", (F.col("y0") + 300).alias("y1"))
-    return artwork.callouts(spans(spark, sf).filter("text like '% mm'"), lines, ["page_no"])
+from folioscope.plans import facts, headers, panels  # noqa: E402,F401  (they register themselves)

@@ -66,3 +66,15 @@ def capabilities() -> dict[str, bool]:
     from importlib.util import find_spec
 
     return {"decode_pages": find_spec("fitz") is not None, "ocr": find_spec("pytesseract") is not None, "html_to_pdf": find_spec("playwright") is not None}
+
+
+def read_bodies(bodies: DataFrame, column: str = "body", field: str = "html") -> tuple[DataFrame, DataFrame]:
+    """JSON request bodies as rows with the field's text, and those that have none or an empty one, with an error."""
+    parsed = bodies.withColumn(field, F.from_json(F.col(column), f"{field} string")[field])
+    has = F.coalesce(F.trim(field) != "", F.lit(False))
+    return parsed.filter(has), parsed.filter(~has).drop(field).withColumn("error", F.lit(f"missing '{field}'"))
+
+
+def ocr_language(installed: list[str]) -> str:
+    """The languages in which damaged texts are read again: Spanish and English where Spanish is installed."""
+    return "spa+eng" if "spa" in installed else "eng"

@@ -30,3 +30,9 @@ def render_scale(width_pt: Column, height_pt: Column, dpi: Column) -> Column:
 def split_errors(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
     """Good rows and dead letters."""
     return df.filter(F.col(error).isNull()).drop(error), df.filter(F.col(error).isNotNull())
+
+
+def rendered(pages: DataFrame, doc: str, dpi: float, image: Column | None = None) -> DataFrame:
+    """All pages of each document with their scale, in order: page_count and pages. image: PNG bytes where a rasteriser is installed; sent as base64."""
+    page = F.struct(F.col("page_no").alias("page_number"), render_scale(F.col("width_pt"), F.col("height_pt"), F.lit(float(dpi))).alias("scale"), (F.base64(image) if image is not None else F.lit(None).cast("string")).alias("png_base64"))
+    return pages.groupBy(doc).agg(F.count("*").alias("page_count"), F.array_sort(F.collect_list(page)).alias("pages"))

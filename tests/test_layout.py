@@ -32,7 +32,7 @@ def test_two_lost_glyphs_stay_and_fail(spark):
     assert "titi" not in got["text"] and got["confidence"] == "failed"
 
 
-@pytest.mark.parametrize("t,want", [("Pasting Side 1", True), ("Varnish Free 2", True), ("Stereo printing instructions are documented in the batch record", False), ("Pantone No.", False)])
+@pytest.mark.parametrize("t,want", [("Pasting Side 1", True), ("Varnish Free 2", True), ("Stereo printing instructions are documented in the batch record", False), ("Pantone No.", False), ("Pasting-Side 1", True), ("Pasting Side:", True), ("scale 1:1", True)])
 def test_production_marks(spark, t, want):
     assert one(spark, text.is_mark(F.lit(t))) is want
 
@@ -102,7 +102,7 @@ def test_parity(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
 
     def rows(df):
-        plain = lambda v: None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else v
+        plain = lambda v: None if pd.isna(v) else bool(v) if hasattr(v, "dtype") and v.dtype.kind == "b" else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else v
         return sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
     assert rows(got) == rows(want)
