@@ -7,7 +7,8 @@ language, by a hash of the id); document frequencies are counted over all traini
 language of the centroid with the greatest cosine. A text farther from it than nearly all that centroid's own
 members (RADIUS quantile and MARGIN) is rejected: the general operator can name it `und`.
 
-Null texts and texts without a letter are `und` with score 0. Without any training row every text is `und`.
+Null texts and texts without a letter are `und` with score 0. Without any training row every text is `und`. Of equally near
+centroids the first counts, by language and then as k-means left them. Rows are judged each by its own text, repeated rows alike.
 """
 
 from __future__ import annotations

@@ -22,4 +22,5 @@ ORACLE = {
     "op4_ngram_jaccard": near_dup.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_decontamination": decontaminate.SQL,
+    "op9_suffix_dedup": repeats.SQL,
 }

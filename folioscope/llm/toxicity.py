@@ -9,7 +9,8 @@ the text's length; a passage's surprise is -log of its probability under that la
 kept, and a logistic curve over the best and the sum of the significant ones gives the document's score.
 
 Weights, the law and the curve are learned from a bounded sample, LABELLED labelled rows in the order of a hash of
-their id. Every text is scored whole. Null and empty texts have no passage and get the score of that.
+their id. Every text is scored whole. Null and empty texts have no passage and get the score of that. Rows are scored each by
+its own text, repeated rows alike and whatever their ids; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -136,9 +137,9 @@ def fit_curve(best: np.ndarray, total: np.ndarray, y: np.ndarray) -> tuple[float
 
 
 def fit(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", most: int = LABELLED) -> Model:
-    """The model of the first `most` labelled rows in the order of a hash of their id."""
+    """The model of the first `most` labelled rows in the order of a hash of their id. A label above 0 is toxic, any other clean; of several of one id the highest counts."""
     spark = df.sparkSession
-    rows = labelled.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
+    rows = labelled.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label) > 0).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     pairs = [(r._id, r._y) for r in rows.collect()]
     sample = df.join(F.broadcast(spark.createDataFrame(pairs, f"_id {df.schema[id_col].dataType.simpleString()}, _y int")), F.col(id_col) == F.col("_id")) if pairs else df.limit(0).withColumn("_y", F.lit(0))
     sample = sample.select("_y", F.col(text).alias("_text"))
