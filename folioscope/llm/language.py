@@ -42,10 +42,12 @@ def counts(block: Block) -> np.ndarray:
     keep = np.ones(len(a), bool)
     keep[1:] = (a[1:] != 32) | (a[:-1] != 32)
     begin = np.concatenate([[0], np.cumsum(keep)])[block.begin]
-    a = a[keep].astype(np.uint32)
-    # a text's grams start at the space before it and end with its last byte
+    a = np.append(a[keep], np.uint8(32)).astype(np.uint32)
+    # a text's grams start at the space before it and end with its last byte; what follows a text is a space, whatever text comes next
+    third = a[2:].copy()
+    third[begin[begin >= 2] - 2] = 32
     two = (a[:-2] * np.uint32(0x9E3779B1) + a[1:-1] * np.uint32(0x85EBCA77)) >> np.uint32(20)
-    three = (a[:-2] * np.uint32(0xC2B2AE3D) + a[1:-1] * np.uint32(0x27D4EB2F) + a[2:] * np.uint32(0x165667B1)) >> np.uint32(20)
+    three = (a[:-2] * np.uint32(0xC2B2AE3D) + a[1:-1] * np.uint32(0x27D4EB2F) + third * np.uint32(0x165667B1)) >> np.uint32(20)
     of = np.searchsorted(begin, np.arange(len(two)) + 1, "right") - 1
     at = np.maximum(of, 0) * DIMS
     n = np.bincount(at + two, minlength=block.n * DIMS) + np.bincount(at + three, minlength=block.n * DIMS)

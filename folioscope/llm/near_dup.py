@@ -317,20 +317,20 @@ def links(df: DataFrame, judged_: DataFrame, clashing: frozenset, id_col: str, t
 
 
 def judged(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id (least doc_id that links reach) of every row."""
+    """doc_id, text_hash, n_shingles, component_id (least doc_id that links reach) and comp (the component's own name) of every row."""
     held, clashing = classes(df, id_col, text)
     comp = links(df, held, clashing, id_col, text)
     by_class = held.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(comp, "cls", "left")
     by_class = by_class.withColumn("comp", F.coalesce("comp", "cls"))
     least = by_class.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_class = by_class.join(least, "comp").select("cls", "component_id")
+    by_class = by_class.join(least, "comp").select("cls", "comp", "component_id")
     out = held.join(by_class, "cls", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "comp")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return judged(df, id_col, text).drop("text_hash")
+    return judged(df, id_col, text).drop("text_hash", "comp")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,8 +340,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     rows = plain(df)
     key, words = f"c{df.columns.index(id_col)}", f"c{df.columns.index(text)}"
     found = judged(rows, key, words).filter("n_shingles > 0 and doc_id is not null")
-    kept = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("one"))
-    found = found.select("doc_id", "text_hash", "component_id").distinct().join(kept, "component_id")
+    kept = found.filter("doc_id = component_id").groupBy("comp").agg(F.min("text_hash").alias("one"))
+    found = found.select("doc_id", "text_hash", "component_id", "comp").distinct().join(kept, "comp")
     dropped = found.filter("doc_id != component_id or text_hash != one").select(F.col("doc_id").alias(key), F.col("text_hash").alias("_hash"))
     out = rows.withColumn("_hash", F.xxhash64(words)).join(dropped, [key, "_hash"], "left_anti")
     # rows alike in id and text: the first by all they hold

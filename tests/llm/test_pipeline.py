@@ -58,3 +58,20 @@ def test_ten_operators_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert near_dup.PERCENT == 80 and decontaminate.WINDOW == 10
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows and columns with inner names go through every stage without loss or crash."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).toPandas()[["doc_id", "text"]]
+    rows = [(int(i), t) for i, t in docs.itertuples(index=False)]
+    rows += [(None, "a text of its own under no id"), (None, None), (9001, None), (9002, ""), (9003, "long " * 60_000), (9004, "said twice over and over again"), (9004, "said twice over and over again")]
+    kind = "doc_id long, text string, rate double, copies int, p string, cls long, _hash string, score double, hits string"
+    spark.createDataFrame([(i, t, 1.5, 2, "p", 3, "h", 0.9, "x") for i, t in rows], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.rate, r.copies, r.p, r.cls, r.hits) for r in out} == {(1.5, 2, "p", 3, "x")}
+    texts_ = {(r.doc_id, r.text) for r in out}
+    assert {rows[-1], rows[-7], rows[-6], rows[-5], rows[-4], rows[-3]} <= texts_
+    for s in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
