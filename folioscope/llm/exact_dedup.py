@@ -62,9 +62,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text: str = "text", bits:
         docs = docs.withColumn("marks", F.lit(None).cast("string"))
     key = ["n_bytes", "recipe", "marks"]
     docs = stored(docs.withColumn("marks", F.coalesce("marks", F.lit(""))), "recipes")  # two readers, one pass over the texts
-    groups = docs.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return docs.join(groups, key).select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256",
+    # groups are few and stored, so that the join is of two shuffles, of which Spark can split a large group's; a text of its own needs none
+    groups = stored(docs.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1"), "copies")
+    joined = docs.join(groups.hint("merge"), key, "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
+    return joined.select(
+        "doc_id", "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256",
     )
 
 
