@@ -236,7 +236,8 @@ def covers(docs: DataFrame) -> DataFrame:
     hot = later(found.filter(F.col("state") >= OPEN).drop("again"), ["state", "second"]).filter("again").select(*by_place)
     found = found.filter(F.col("state") < OPEN).select(*by_place).unionByName(hot).select("doc", "key", F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi"))
     digests = docs.filter(F.octet_length("text") >= LENGTH).select("doc", "key", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("n"))
-    copies = digests.join(digests.groupBy("digest", "n").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least != most").hint("merge"), ["digest", "n"]).filter("doc > least")
+    several = stored(digests.groupBy("digest", "n").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least != most"), "copied")
+    copies = digests.join(several.hint("merge"), ["digest", "n"]).filter("doc > least")
     copies = stored(copies.select("doc", "key", F.lit(0).alias("lo"), F.col("n").alias("hi")), "copies")
     again = first.filter("again").select("doc", "key", F.greatest(F.col("at") - HALF, F.lit(0)).alias("lo"), (F.col("at") + LENGTH).alias("hi"))
     return copies.unionByName(again).unionByName(found)
