@@ -165,13 +165,16 @@ def review(pages: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 
 def rollup(pages: DataFrame, doc: str) -> DataFrame:
-    """One row a document: pages, failed pages, sums, sorted distinct reasons (a failed page's first) and needs_review."""
+    """One row a document: pages, failed pages, sums, sorted distinct reasons (a failed page's first) and needs_review.
+
+    Where pages has them, unresolved damage is summed and reasons to skip reading again are listed."""
     reasons = F.array_sort(F.array_distinct(F.flatten(F.collect_list("review_reasons"))))
     failed = F.count_if("failed")
+    more = [F.sum("unresolved").alias("total_unresolved")] * ("unresolved" in pages.columns) + [F.array_sort(F.collect_set("skip_reason")).alias("ocr_skip_reasons")] * ("skip_reason" in pages.columns)
     return pages.groupBy(doc).agg(
         F.count("*").alias("page_count"), failed.alias("failed_pages"), F.sum("repairs").alias("total_repairs"),
         F.array_join(F.when(failed > 0, F.concat(F.array(F.lit("page_extraction_failed")), reasons)).otherwise(reasons), ",").alias("review_reasons"),
-        (F.max("needs_review") | (failed > 0)).alias("needs_review"),
+        (F.max("needs_review") | (failed > 0)).alias("needs_review"), *more,
     )
 
 

@@ -98,3 +98,19 @@ def extract(layout: dict[str, DataFrame], house: str = "", ocr: bool = False, sc
         "rotated": pages.rotated(ordered.filter("section = 'body'"), KEY), "header_pairs": table["pairs"], "header_unassigned": table["unassigned"], "header_tables": table["tables"],
         **{f"artwork_{k}": v for k, v in made.items()}, "pages": facts, "documents": documents,
     }
+
+
+def as_documents(out: dict[str, DataFrame], keep: list[str] | None = None) -> DataFrame:
+    """doc_id and json: each document's facts and its pages in order, every page with its facts and the rows of the other tables.
+
+    out: extract()'s tables; keep: the names of those to nest, all by default. Rows of a page are gathered in one array, which a page's size bounds."""
+    pages_ = out["pages"].select(*KEY, F.struct(*[c for c in out["pages"].columns if c not in KEY]).alias("facts"))
+    parts = ["facts"]
+    for name in keep or [n for n in out if n not in ("pages", "documents")]:
+        rows = out[name].select(*KEY, F.struct(*[c for c in out[name].columns if c not in KEY]).alias("row"))
+        pages_ = pages_.join(rows.groupBy(*KEY).agg(F.collect_list("row").alias(name)), KEY, "left")
+        parts.append(name)
+    page = F.struct(pages.slot(F.col("page_no"))["key"].alias("key"), *parts)
+    by = pages_.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.to_json(page, {"ignoreNullFields": "false"}).alias("json")))), lambda p: p["json"]).alias("pages"))
+    meta = out["documents"].select("doc_id", F.to_json(F.struct(*[c for c in out["documents"].columns if c != "doc_id"]), {"ignoreNullFields": "false"}).alias("meta"))
+    return by.join(meta, "doc_id").select("doc_id", F.concat(F.lit('{"document_meta":'), "meta", F.lit(',"pages":['), F.array_join("pages", ","), F.lit("]}")).alias("json"))

@@ -1,11 +1,13 @@
 """Golden cases of the smaller page facts, the page pipeline and the stream wrapper."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
 from folioscope.operators import barcodes, details
-from folioscope.pipeline import extract
+from folioscope.pipeline import as_documents, extract
 from folioscope.sources import layout, sinks
 from folioscope.streaming import run_batches, stream_layout
 
@@ -95,6 +97,8 @@ def test_pipeline_and_stream(spark, tmp_path):
     assert [b.legend for b in out["artwork_blocks"].orderBy("block_no").collect()] == ["ac_reference"] and out["artwork_unplaced"].count() == 0
     assert out["barcodes"].first().value == code and out["images"].first().aspect_ratio == 2.0
     assert out["documents"].first().page_count == 2
+    whole = json.loads(as_documents(out, ["spans", "header_tables", "zones"]).first().json)
+    assert [p["key"] for p in whole["pages"]] == ["page1", "page2"] and len(whole["pages"][0]["spans"]) == 14 and whole["pages"][1]["spans"] is None and whole["document_meta"]["page_count"] == 2
     tables["spans"].write.parquet(f"{tmp_path}/spans")
     q = run_batches(stream_layout(spark, f"{tmp_path}/spans", "spans"), lambda b: b.groupBy("doc_id").count(), f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination()
