@@ -19,20 +19,25 @@ def box(prefix: str = "") -> Column:
     return F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in BOX])
 
 
-def header_table(spans: DataFrame, paths: DataFrame, page: list[str]) -> dict[str, DataFrame]:
+Settle = Callable[[DataFrame], DataFrame]
+
+
+def header_table(spans: DataFrame, paths: DataFrame, page: list[str], settled: Settle = lambda df: df) -> dict[str, DataFrame]:
     """Header tables from header spans and paths: `pairs` of label and value, `unassigned` spans, and one row a page in `tables`.
 
     spans: span_id, text, box (whole points), bbox_mm and the formats of details.FORMATS; blank ones don't count. paths: drawing_id,
     box (whole points), bbox_mm, fill_color_hex, stroke_width_pt. A span is a label if its text names a field. A value belongs to
-    the label in the column before whose window it is in: from halfway to the label above to halfway to the one below."""
+    the label in the column before whose window it is in: from halfway to the label above to halfway to the one below.
+    settled may store what several of the results read (grids, classified spans, matches)."""
     s = spans.filter(text.strip(F.col("text")) != "").withColumns({"yc": (F.col("y0") + F.col("y1")) / 2, "xc": (F.col("x0") + F.col("x1")) / 2})
     edges = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
     extent = s.groupBy(*page).agg(F.struct(*[f(c).alias(c) for c, f in edges.items()]).alias("text_bbox"), F.array(*[f(F.col("bbox_mm")[i]) for i, f in enumerate(edges.values())]).alias("text_extent_bbox_mm"))
     near = paths.join(extent.select(*page, F.col("text_bbox.y1").alias("text_end")), page).filter(details.in_band(F.col("y0"), F.col("y1"), F.col("text_end")))
-    grid = header.header_grid(near.withColumn("box_mm", F.col("bbox_mm")), page).withColumn("bounds", F.when(F.size("col_edges") >= 2, pairs(F.col("col_edges"))))
-    s = s.join(grid.select(*page, "bounds", "cells"), page, "left").withColumns({"canonical": text.canonical(F.col("text")), "col": header.column_of(F.col("xc"), F.col("bounds"))})
+    near = settled(near)
+    grid = settled(header.header_grid(near.withColumn("box_mm", F.col("bbox_mm")), page).withColumn("bounds", F.when(F.size("col_edges") >= 2, pairs(F.col("col_edges")))))
+    s = settled(s.join(grid.select(*page, "bounds", "cells"), page, "left").withColumns({"canonical": text.canonical(F.col("text")), "col": header.column_of(F.col("xc"), F.col("bounds"))}))
     labels, plain = s.filter("canonical is not null"), s.filter("canonical is null")
-    found = header.value_windows(labels.select(*page, "col", "span_id", "y0", "yc"), plain.select(*page, "col", "span_id", "yc"), page)
+    found = settled(header.value_windows(labels.select(*page, "col", "span_id", "y0", "yc"), plain.select(*page, "col", "span_id", "yc"), page))
     values = plain.join(found.withColumnRenamed("value_id", "span_id"), [*page, "span_id"])
     rows = labels.groupBy(*page).agg(clusters.anchors(F.collect_list("yc"), config.ROW_PT).alias("row_tops"))
     fills = near.filter("fill_color_hex is not null")
@@ -89,7 +94,7 @@ def declared(pairs_: DataFrame, page: list[str]) -> DataFrame:
     return fields.select(*page, F.col("fields")["style"].alias("declared_style"), F.when(F.size(nums("dimension")) > 0, nums("dimension")).alias("declared_mm"), *[F.get(nums(f), 0).alias(f) for f in ("printing_zone", "repeat")])
 
 
-def component(body: DataFrame, paths: DataFrame, annotations: DataFrame, meta: DataFrame, page: list[str], house: str = "", settled: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+def component(body: DataFrame, paths: DataFrame, annotations: DataFrame, meta: DataFrame, page: list[str], house: str = "", settled: Settle = lambda df: df) -> dict[str, DataFrame]:
     """The printed component below the header from its drawn geometry: components, panels, columns, blocks, callouts, unplaced texts, pages.
 
     body: span_id (in reading order), text, box in mm. paths: drawing_id, box in mm, stroke_color_hex, fill_color_hex.
@@ -98,11 +103,12 @@ def component(body: DataFrame, paths: DataFrame, annotations: DataFrame, meta: D
     settled may store what several of the results read (panels, components, texts, inner boxes, blocks, columns)."""
     below = artwork.below_header(paths.join(meta.select(*page, "header_bottom_mm"), page), F.col("header_bottom_mm"))
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    told = below.withColumn("callout", artwork.is_callout(F.coalesce("stroke_color_hex", "fill_color_hex"), w, h))
+    told = settled(below.withColumn("callout", artwork.is_callout(F.coalesce("stroke_color_hex", "fill_color_hex"), w, h)))
     marks, solid = told.filter("callout"), told.filter("not callout").select(*page, "drawing_id", *BOX, "fill_color_hex")
     p = artwork.panels(solid, page, "drawing_id")
     p = p.withColumn("panel_id", F.row_number().over(Window.partitionBy(*page).orderBy("y0", "x0", "drawing_id")))
-    p = p.join(clusters.touching(p, page, "panel_id", config.NEST_MM), [*page, "panel_id"])
+    p = settled(p)
+    p = settled(p.join(clusters.touching(p, page, "panel_id", config.NEST_MM), [*page, "panel_id"]))
     edges = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
     c = p.groupBy(*page, "component").agg(*[f(k).alias(k) for k, f in edges.items()], F.count("*").alias("panel_count"))
     size = F.bround(w, 2) * F.bround(h, 2)

@@ -74,7 +74,7 @@ def extract(layout: dict[str, DataFrame], house: str = "", ocr: bool = False, sc
     symbols = barcodes.decoded(barcodes.symbols(barcodes.bars_of(layout["drawings"], KEY), KEY))
     formats = {"font": F.col("font_name"), "size": F.col("font_size_pt")}
     flat = paths.withColumns({c: F.col("bbox")[i] for i, c in enumerate(assembly.BOX)})
-    table = {k: settled(v) for k, v in assembly.header_table(snapped(head).withColumns(formats), flat, KEY).items()}
+    table = {k: settled(v) for k, v in assembly.header_table(snapped(head).withColumns(formats), flat, KEY, settled).items()}
     said = assembly.declared(table["pairs"], KEY)
     frames = reference.select(*KEY, F.when(F.col("on_pack_position").isNotNull(), F.col("bounds")).alias("artboard"))
     ends = table["tables"].select(*KEY, F.col("table_bbox_mm")[3].alias("end"), "grid_convention")

@@ -10,6 +10,7 @@ from folioscope.functions.columns import let
 from folioscope.operators import artwork, assembly
 from folioscope.plans.registry import query
 from folioscope.sources import fixtures
+from folioscope.sources.scratch import Scratch
 
 NESTED_SQL = f"""with recursive fx as ({fixtures.PATHS}), b as (select * from fx where x1 - x0 >= 3 and y1 - y0 >= 3),
 p as (select * from b i where not exists (select 1 from b o where o.page_no = i.page_no and o.drawing_id <> i.drawing_id and o.x0 <= i.x0 + 0.5 and o.y0 <= i.y0 + 0.5 and o.x1 >= i.x1 - 0.5 and o.y1 >= i.y1 - 0.5
@@ -168,7 +169,7 @@ def assembled(spark, sf):
     frame = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(300.0).alias("x1"), F.lit(200.0).alias("y1"))
     none = F.lit(None).cast("double")
     meta = p.select("page_no").distinct().withColumns({"width_mm": F.lit(600.0), "height_mm": F.lit(400.0), "artboard": frame, "header_bottom_mm": none, "declared_style": F.lit("Side Open"), "declared_mm": F.array(F.lit(1.0)), "printing_zone": none, "repeat": none})
-    return assembly.component(s, p, s.filter("text like '% mm'"), meta, ["page_no"])
+    return assembly.component(s, p, s.filter("text like '% mm'"), meta, ["page_no"], settled=Scratch(spark).settled)
 
 
 @query("component_assembly", ASSEMBLED_SQL + " select page_no, x1 - x0 as component_width_mm, y1 - y0 as component_height_mm, panel_count from c")
