@@ -340,14 +340,15 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     rows = plain(df)
     key, words = f"c{df.columns.index(id_col)}", f"c{df.columns.index(text)}"
     found = judged(rows, key, words).filter("n_shingles > 0 and doc_id is not null")
-    kept = found.filter("doc_id = component_id").groupBy("comp").agg(F.min("text_hash").alias("one"))
-    found = found.select("doc_id", "text_hash", "component_id", "comp").distinct().join(kept, "comp")
-    dropped = found.filter("doc_id != component_id or text_hash != one").select(F.col("doc_id").alias(key), F.col("text_hash").alias("_hash"))
+    least = found.filter("doc_id = component_id").select("doc_id", "text_hash", "comp")  # nearly always one text a group
+    others = least.join(least.groupBy("comp").agg(F.min("text_hash").alias("one")), "comp").filter("text_hash != one")
+    dropped = found.filter("doc_id != component_id").select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash")).distinct().toDF(key, "_hash")
     out = rows.withColumn("_hash", F.xxhash64(words)).join(dropped, [key, "_hash"], "left_anti")
     # rows alike in id and text: the first by all they hold
     alike = out.filter(F.col(key).isNotNull() & F.col(words).isNotNull()).groupBy(key, "_hash").agg(F.min(F.xxhash64(*rows.columns)).alias("_row"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    out = out.join(alike, [key, "_hash"], "left").filter(F.col("_row").isNull() | (F.col("_row") == F.xxhash64(*rows.columns)))
-    return out.select(*rows.columns).toDF(*df.columns)
+    out = out.join(alike, [key, "_hash"], "left")
+    one = out.filter(F.col("_row") == F.xxhash64(*rows.columns)).dropDuplicates([key, "_hash"])
+    return out.filter("_row is null").unionByName(one).select(*rows.columns).toDF(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
