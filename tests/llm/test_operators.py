@@ -226,7 +226,8 @@ def test_language_model_against_a_slow_one(spark, docs, rows):
                 node = 1 << bit | byte >> 8 - bit
                 contexts = [int.from_bytes(six[6 - o :], "big") for o in language_model.ORDERS]
                 at = [(hash64((c * language_model.BASE + (node << 4) + i + 1) & (1 << 64) - 1) >> 64 - model.tables.bits[i]) + int(model.tables.begin[i]) for i, c in enumerate(contexts)]
-                x, v = [float(model.logits[a]) for a in at], [int(model.confidence[a]) for a in at]
+                x, v = [((int(model.slots[a]) & 0xFFFF) - 32768) / language_model.SCALE for a in at], [int(model.slots[a]) >> 16 for a in at]
+                assert all(abs(b - (math.log(int(ones[a]) + 0.1) - math.log(int(zeros[a]) + 0.1))) < 1e-3 for a, b in zip(at, x, strict=True))
                 g = (v[-1] >> 1) * 16 + (v[-2] >> 1) * 4 + (v[-3] >> 1)
                 e = int(language_model.KIND[six[-1]]) * 8 + bit
                 z = min(max(sum((m.by_seen[g, i] + m.by_bit[e, i] + m.by_level[i, v[i]]) * x[i] for i in range(len(x))), -11.9), 11.9)
