@@ -339,16 +339,21 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     Rows of a null id all stay. Columns of any name pass through."""
     rows = plain(df)
     key, words = f"c{df.columns.index(id_col)}", f"c{df.columns.index(text)}"
-    found = judged(rows, key, words).filter("n_shingles > 0 and doc_id is not null")
+    names = [key, "_hash"]
+    found = stored(judged(rows, key, words).filter("n_shingles > 0 and doc_id is not null").drop("n_shingles"), "judged")
     least = found.filter("doc_id = component_id").select("doc_id", "text_hash", "comp")  # nearly always one text a group
     others = least.join(least.groupBy("comp").agg(F.min("text_hash").alias("one")), "comp").filter("text_hash != one")
-    dropped = found.filter("doc_id != component_id").select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash")).distinct().toDF(key, "_hash")
-    out = rows.withColumn("_hash", F.xxhash64(words)).join(dropped, [key, "_hash"], "left_anti")
-    # rows alike in id and text: the first by all they hold
-    alike = out.filter(F.col(key).isNotNull() & F.col(words).isNotNull()).groupBy(key, "_hash").agg(F.min(F.xxhash64(*rows.columns)).alias("_row"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    out = out.join(alike, [key, "_hash"], "left")
-    one = out.filter(F.col("_row") == F.xxhash64(*rows.columns)).dropDuplicates([key, "_hash"])
-    return out.filter("_row is null").unionByName(one).select(*rows.columns).toDF(*df.columns)
+    dropped = stored(found.filter("doc_id != component_id").select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash")).distinct().toDF(*names), "dropped")
+    discard(found)
+    marked = rows.withColumns({"_hash": F.xxhash64(words), "_own": F.xxhash64(*rows.columns)})
+    # rows alike in id and text: the first by all they hold stays, and one of those that are alike in all
+    each = marked.filter(F.col(key).isNotNull() & F.col(words).isNotNull()).groupBy(*names, "_own").agg(F.count("*").alias("n"))
+    alike = each.groupBy(*names).agg(F.min(F.struct("_own", "n")).alias("first"), F.sum("n").alias("all")).filter("all > 1")
+    alike = stored(alike.select(*names, F.col("first._own").alias("_first"), F.col("first.n").alias("_same")), "alike")
+    left = lambda d: d.join(dropped, names, "left_anti")
+    single = left(marked).join(alike, names, "left").filter("_first is null or (_first = _own and _same = 1)")
+    same = left(marked.join(alike.filter("_same > 1"), names).filter("_first = _own")).dropDuplicates(names)
+    return single.select(*rows.columns).unionByName(same.select(*rows.columns)).toDF(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
