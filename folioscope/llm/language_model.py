@@ -5,10 +5,10 @@ zeros and ones under a hash of their context and the bits so far, one for each o
 counts are of all training texts, in tables whose sizes follow from the distinct contexts that these texts have, up to
 BITS. A mixer adds the predictors' logits with weights that gates choose:
 how much the longer contexts have been seen, and the bit and kind of the byte before. An adaptive probability map
-refines the result. Mixer and map learn online, in small batches, at every EVERY-th place of all training texts, from a
-place that a hash of the text gives, without the place's own count: every task learns from the texts it has, and what
-the tasks learned is averaged by the places they saw. Then all is fixed, so a text's score doesn't depend on what else
-is scored; log10 probabilities are summed over the whole text.
+refines the result. Mixer and map learn online, in small batches, from every place of all training texts, without the
+place's own count: places of the same context and byte are the same lesson, so tasks learn from the distinct ones that
+they have, as often as they occur, and what the tasks learned is averaged by the places they saw. Then all is fixed, so
+a text's score doesn't depend on what else is scored; log10 probabilities are summed over the whole text.
 
 The probability of a byte depends on the six before it only, so each worker keeps a table of what it has worked out.
 
@@ -38,7 +38,10 @@ BITS = (18, 19, 20, 21, 21)
 PART = 1 << 14
 #: Distinct n-grams that one task spreads over tables of its own.
 SHARE = 4 << 20
-EVERY, BATCH, RATE = 256, 256, 0.006
+#: Decisions of a step at first, rate of learning, and decisions after which the rate falls and steps grow.
+BATCH, RATE, SLOWER = 256, 0.006, 1 << 19
+#: A lesson that occurs more than HEAVY times as often as they do on average is learned in several parts, and n-grams that a task looks at together.
+HEAVY, LESSONS = 4, 1 << 13
 #: Positions that a task sorts together, and distinct n-grams that it holds at most (about) before it passes them on.
 CHUNK = 1 << 20
 COMMON = 1 << 17
@@ -64,18 +67,6 @@ def keys(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[np.cumsum(room[:-1]) > 0], edge[:-1], edge[1:]
 
 
-def keys_to_learn(block: Block) -> np.ndarray:
-    """The keys at every EVERY-th place of each text, from a place that a hash of the text gives."""
-    a = block.bytes.copy()
-    a[block.end] = END
-    first = (span(block.sums(), block.begin, block.end) % U(EVERY)).astype(np.int64)
-    at = np.concatenate([np.arange(b + f, e + 1, EVERY) for b, f, e in zip(block.begin.tolist(), first.tolist(), block.end.tolist(), strict=True)])
-    out = np.zeros(len(at), U)
-    for j in range(ORDERS[-1] + 1):
-        out |= a[at - j].astype(U) << U(8 * j)
-    return out
-
-
 def slot(context_: np.ndarray, byte: np.ndarray, bit: int, i: int, bits: int) -> np.ndarray:
     """Where predictor i counts this bit (0 the highest) of a byte after a context, in its own table."""
     node = (U(1) << U(bit)) | (byte >> U(8 - bit))
@@ -122,12 +113,26 @@ def logit(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return (np.log(ones + PRIOR) - np.log(zeros + PRIOR)).astype(np.float32)
 
 
+#: seen() and the logarithm of logit() of small counts.
+SEEN = seen(np.arange(LEVELS[-1] + 1))
+LOGS = np.log(np.arange(1 << 16) + PRIOR).astype(np.float32)
+
+
+def logs(n: np.ndarray) -> np.ndarray:
+    out = LOGS[np.minimum(n, len(LOGS) - 1)]
+    if (many := n >= len(LOGS)).any():
+        out[many] = np.log(n[many] + PRIOR)
+    return out
+
+
 KIND = np.zeros(256, np.int64)
 KIND[0x61:0x7B], KIND[0x30:0x3A], KIND[0x80:], KIND[[0x20, 0x0A]] = 1, 2, 3, 4
 
 
 class Mixer:
-    """The mixer's weights, and the refining map."""
+    """The mixer's weights, and the refining map; and the places of texts that it learned from."""
+
+    places = 0
 
     def __init__(self):
         self.by_seen = np.full((64, PREDICTORS), 0.3, np.float32)
@@ -162,18 +167,20 @@ class Mixer:
         f = (at - i).astype(np.float32)
         return (z + (1 - f) * self.map[g, i] + f * self.map[g, i + 1]) / 2, i, f
 
-    def learn(self, x: np.ndarray, g: np.ndarray, b: np.ndarray, v: np.ndarray, y: np.ndarray, rate: float) -> None:
-        """One online step over a few decisions: x logits, g, b and v (levels) gates, y the bits."""
+    def learn(self, x: np.ndarray, g: np.ndarray, b: np.ndarray, v: np.ndarray, y: np.ndarray, w: np.ndarray, rate: float) -> None:
+        """One online step over a few decisions: x logits, g, b and v (levels) gates, y the bits, w how much each counts."""
+
+        def add(to: np.ndarray, at: np.ndarray, what: np.ndarray) -> None:
+            to += np.bincount(at.ravel(), what.ravel(), to.size).astype(np.float32).reshape(to.shape)
+
         z = self.mixed(x, g, b, v)
-        step = (rate * (y - 1 / (1 + np.exp(-z))))[:, None] * x
-        np.add.at(self.by_seen, g, step)
-        np.add.at(self.by_bit, b, 0.2 * step)
-        for i in range(PREDICTORS):
-            self.by_level[i] += 0.05 * np.bincount(v[:, i], step[:, i], 8).astype(np.float32)
+        step, each = (rate * w * (y - 1 / (1 + np.exp(-z))))[:, None] * x, np.arange(PREDICTORS)
+        add(self.by_seen, g[:, None] * PREDICTORS + each, step)
+        add(self.by_bit, b[:, None] * PREDICTORS + each, 0.2 * step)
+        add(self.by_level, each * 8 + v, 0.05 * step)
         r, i, f = self.refined(z, g)
-        e = rate * 4 * (y - 1 / (1 + np.exp(-r)))
-        np.add.at(self.map, (g, i), e * (1 - f))
-        np.add.at(self.map, (g, i + 1), e * f)
+        e, at = rate * 4 * w * (y - 1 / (1 + np.exp(-r))), g * (STEPS + 1) + i
+        add(self.map, np.concatenate([at, at + 1]), np.concatenate([e * (1 - f), e * f]))
 
 
 SCALE = 1024
@@ -234,7 +241,19 @@ def counted(texts: DataFrame) -> tuple[Tables, np.ndarray, np.ndarray]:
     """Tables of a fitting size, and zeros and ones of every slot, over all texts.
 
     As many tasks as there are SHAREs of distinct n-grams spread them, each over tables of its own; parts of these are summed up."""
-    held = stored(grouped(texts, lambda block: keys(block)[0]), "n-grams")
+    held = n_grams(texts)
+    out = spread_out(held)
+    discard(held)
+    return out
+
+
+def n_grams(texts: DataFrame) -> DataFrame:
+    """key and n of every distinct n-gram of all texts."""
+    return stored(grouped(texts, lambda block: keys(block)[0]), "n-grams")
+
+
+def spread_out(held: DataFrame) -> tuple[Tables, np.ndarray, np.ndarray]:
+    """counted() of the texts that have these n-grams."""
     n = held.count()
     # an n-gram touches eight slots at most
     tables = Tables(tuple(min(b, max(12, (8 * n).bit_length())) for b in BITS))
@@ -268,7 +287,7 @@ def counted(texts: DataFrame) -> tuple[Tables, np.ndarray, np.ndarray]:
         for p in parts.select("part", name).collect():
             got = np.frombuffer(p[name], np.uint32)
             out[p.part : p.part + len(got)] = got
-    discard(held, parts)
+    discard(parts)
     return tables, zeros, ones
 
 
@@ -276,58 +295,84 @@ def decisions(tables: Tables, zeros: np.ndarray, ones: np.ndarray, key: np.ndarr
     """Logits, gates and levels, and the bits, of all eight decisions of each key, each without its own count."""
     out = []
     for bit in range(8):
-        s, one = tables.slots(key, bit), bit_of(key, bit)
-        o = [np.maximum(ones[i].astype(np.int64) - one, 0) for i in s]
-        z = [np.maximum(zeros[i].astype(np.int64) - ~one, 0) for i in s]
-        c = [seen(a + b) for a, b in zip(o, z, strict=True)]
-        g, b = Mixer.gates(c, key, bit)
-        out.append((np.stack([logit(a, b) for a, b in zip(o, z, strict=True)], 1), g, b, np.stack(c, 1), one.astype(np.float32)))
+        s, one = np.stack(tables.slots(key, bit), 1), bit_of(key, bit)
+        o, z = ones[s].astype(np.int64), zeros[s].astype(np.int64)
+        o[one] -= 1
+        z[~one] -= 1
+        np.maximum(o, 0, out=o)
+        np.maximum(z, 0, out=z)
+        c = SEEN[np.minimum(o + z, len(SEEN) - 1)]
+        g, b = Mixer.gates(list(c.T), key, bit)
+        out.append((logs(o) - logs(z), g, b, c, one.astype(np.float32)))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def learned(texts: DataFrame, tables: Tables, zeros: np.ndarray, ones: np.ndarray) -> Mixer:
-    """The mixer that tasks learn online from the places of their texts, averaged by how many places each saw."""
-    counts = texts.sparkSession.sparkContext.broadcast((zeros, ones))
+def learned(held: DataFrame, tables: Tables, zeros: np.ndarray, ones: np.ndarray) -> Mixer:
+    """The mixer that tasks learn online from their n-grams (key, n), averaged by how many places each saw."""
+    usual = held.agg(F.avg("n")).first()[0]
+    counts = held.sparkSession.sparkContext.broadcast((zeros, ones))
+
+    def lessons(batches):
+        """Keys and their weights, shuffled among CHUNK; and how many places they stand for."""
+
+        def out():
+            key, n = (np.concatenate(x) for x in zip(*some, strict=True))
+            parts = -(-n // max(1, int(HEAVY * usual)))
+            order = rng.permutation(int(parts.sum()))
+            return np.repeat(key, parts)[order], np.repeat(n / parts / usual, parts).astype(np.float32)[order], int(n.sum())
+
+        rng, some, size = np.random.default_rng(0), [], 0
+        for b in batches:
+            some.append((b.column(0).to_numpy().view(U), b.column(1).to_numpy()))
+            size += b.num_rows
+            if size >= CHUNK:
+                yield out()
+                some, size = [], 0
+        if size:
+            yield out()
 
     def run(batches):
         z, o = counts.value
-        mixer, n = Mixer(), 0
+        mixer, n, places = Mixer(), 0, 0
         rng = np.random.default_rng(0)
-        for b in batches:
-            for block in blocks(b.column(0).to_pylist(), GAP):
-                key = keys_to_learn(block)
-                if not len(key):
-                    continue
-                x, g, e, v, y = decisions(tables, z, o, key)
-                order = rng.permutation(len(y))
-                for k in range(0, len(y), BATCH):
-                    i = order[k : k + BATCH]
-                    mixer.learn(x[i], g[i], e[i], v[i], y[i], RATE / (1 + n / (1 << 19)) ** 0.5)
-                    n += len(i)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mixer.packed().astype(np.float32).tobytes()])], ["n", "weights"])
+        for key, weight, more in lessons(batches):
+            places += more
+            for at in range(0, len(key), LESSONS):
+                x, g, e, v, y = decisions(tables, z, o, key[at : at + LESSONS])
+                w, order, k = np.tile(weight[at : at + LESSONS], 8), rng.permutation(len(y)), 0
+                x, g, e, v, y, w = (a[order] for a in (x, g, e, v, y, w))
+                while k < len(y):
+                    slower = (1 + n / SLOWER) ** 0.5
+                    i = slice(k, k + int(BATCH * slower))
+                    mixer.learn(x[i], g[i], e[i], v[i], y[i], w[i], RATE / slower)
+                    n += len(y[i])
+                    k = i.stop
+        yield pa.RecordBatch.from_arrays([pa.array([places], pa.int64()), pa.array([mixer.packed().astype(np.float32).tobytes()])], ["n", "weights"])
 
     def total(t: pa.Table) -> pa.Table:
         n = np.array(t.column("n").to_pylist(), np.float64)
         w = sum(k * np.frombuffer(x, np.float32).astype(np.float64) for k, x in zip(n, t.column("weights").to_pylist(), strict=True))
         return pa.table({"k": t.column("k")[:1], "n": pa.array([int(n.sum())], pa.int64()), "weights": [(w / max(n.sum(), 1)).astype(np.float32).tobytes()]})
 
-    find_code(texts.sparkSession)
-    each = texts.mapInArrow(run, "n long, weights binary").filter("n > 0")
+    find_code(held.sparkSession)
+    each = held.select("key", "n").mapInArrow(run, "n long, weights binary").filter("n > 0")
     # a few kilobytes a task: first some hundred groups, then one
     groups = each.withColumn("k", F.pmod(F.xxhash64("weights"), F.lit(256)).cast("int")).groupBy("k").applyInArrow(total, "k int, n long, weights binary")
     parts = groups.collect()
     counts.destroy()
     mixer = Mixer()
     if parts:
-        n = sum(p.n for p in parts)
+        mixer.places = n = sum(p.n for p in parts)
         mixer.unpack(sum(p.n / n * np.frombuffer(p.weights, np.float32).astype(np.float64) for p in parts))
     return mixer
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
     texts = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tables, zeros, ones = counted(texts)
-    mixer = learned(texts, tables, zeros, ones)
+    held = n_grams(texts)
+    tables, zeros, ones = spread_out(held)
+    mixer = learned(held, tables, zeros, ones)
+    discard(held)
     slots = np.empty(tables.size, np.int32)
     for at in range(0, tables.size, PART):  # the driver holds the tables, and little besides
         slots[at : at + PART] = Model.packed(zeros[at : at + PART], ones[at : at + PART])
