@@ -209,33 +209,44 @@ class Network:
         self.p["ob"] = np.zeros(TAGS, np.float32)
         self.p["t"] = np.zeros((TAGS, TAGS), np.float32)
 
-    def run(self, x: np.ndarray, d: str, keep: bool = False):
-        """Hidden states over time of one direction (and what back() needs). x: kinds, time first."""
+    def run(self, x: np.ndarray, d: str):
+        """Hidden states over time of one direction, and what back() needs. x: kinds, time first."""
         n, b, h = *x.shape, HIDDEN
         w, u = self.p["w" + d] + self.p["c" + d], self.p["u" + d]
         hs, c = np.zeros((n + 1, b, h), w.dtype), np.zeros((b, h), w.dtype)
-        cs, gs = (np.zeros((n + 1, b, h), w.dtype), np.zeros((n, b, 4 * h), w.dtype)) if keep else (None, None)
-        z, m, s = np.empty((b, 4 * h), w.dtype), np.empty((b, 4 * h), w.dtype), np.empty((b, h), w.dtype)
+        cs, gs = np.zeros((n + 1, b, h), w.dtype), np.zeros((n, b, 4 * h), w.dtype)
         for t in range(n):
-            np.take(w, x[t], axis=0, out=z, mode="clip")
-            np.matmul(hs[t], u, out=m)
+            z = soft(w[x[t]] + hs[t] @ u)
+            z[:, : 3 * h] = z[:, : 3 * h] * 0.5 + 0.5
+            c = z[:, h : 2 * h] * c + z[:, :h] * z[:, 3 * h :]
+            hs[t + 1] = z[:, 2 * h : 3 * h] * soft(c)
+            cs[t + 1], gs[t] = c, z
+        return hs, cs, gs
+
+    def states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """The hidden states of run() alone, units before windows: so each gate is one stretch of memory."""
+        n, b, h = *x.shape, HIDDEN
+        w, u = np.ascontiguousarray((self.p["w" + d] + self.p["c" + d]).T), np.ascontiguousarray(self.p["u" + d].T)
+        hs, c = np.zeros((n + 1, h, b), w.dtype), np.zeros((h, b), w.dtype)
+        z, m, s = np.empty((4 * h, b), w.dtype), np.empty((4 * h, b), w.dtype), np.empty((h, b), w.dtype)
+        gates, (i, f, o, j) = z[: 3 * h], (z[k * h : (k + 1) * h] for k in range(4))
+        for t in range(n):
+            np.take(w, x[t], axis=1, out=z, mode="clip")
+            np.matmul(u, hs[t], out=m)
             z += m
             np.abs(z, out=m)
             m += 1
             z /= m
-            gates = z[:, : 3 * h]
             gates *= 0.5
             gates += 0.5
-            np.multiply(z[:, h : 2 * h], c, out=c)
-            np.multiply(z[:, :h], z[:, 3 * h :], out=s)
+            c *= f
+            np.multiply(i, j, out=s)
             c += s
             np.abs(c, out=s)
             s += 1
             np.divide(c, s, out=s)
-            np.multiply(z[:, 2 * h : 3 * h], s, out=hs[t + 1])
-            if keep:
-                cs[t + 1], gs[t] = c, z
-        return (hs, cs, gs) if keep else hs
+            np.multiply(o, s, out=hs[t + 1])
+        return hs[1:]
 
     def back(self, x: np.ndarray, d: str, held, dh: np.ndarray, grad: dict) -> None:
         hs, cs, gs = held
@@ -260,13 +271,16 @@ class Network:
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Tag scores, time first."""
-        f, b = self.run(x, "f")[1:], self.run(x[::-1], "b")[1:][::-1]
-        o = self.p["o"]
-        return f @ o[:HIDDEN] + b @ o[HIDDEN:] + self.p["ob"]
+        f, b, o = self.states(x, "f"), self.states(x[::-1], "b")[::-1], self.p["o"]
+        e = np.matmul(f.transpose(0, 2, 1), o[:HIDDEN])
+        for t in range(len(e)):
+            e[t] += b[t].T @ o[HIDDEN:]
+        e += self.p["ob"]
+        return e
 
     def learn(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean negative log-likelihood of tags y, and its gradient. Padding (kind 0) is tagged outside."""
-        held_f, held_b = self.run(x, "f", True), self.run(x[::-1], "b", True)
+        held_f, held_b = self.run(x, "f"), self.run(x[::-1], "b")
         hid = np.concatenate([held_f[0][1:], held_b[0][1:][::-1]], 2)
         e = hid @ self.p["o"] + self.p["ob"]
         n, b, _ = e.shape
