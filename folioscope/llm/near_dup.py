@@ -350,8 +350,9 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     each = marked.filter(F.col(key).isNotNull() & F.col(words).isNotNull()).groupBy(*names, "_own").agg(F.count("*").alias("n"))
     alike = each.groupBy(*names).agg(F.min(F.struct("_own", "n")).alias("first"), F.sum("n").alias("all")).filter("all > 1")
     alike = stored(alike.select(*names, F.col("first._own").alias("_first"), F.col("first.n").alias("_same")), "alike")
-    left = lambda d: d.join(dropped, names, "left_anti")
-    single = left(marked).join(alike, names, "left").filter("_first is null or (_first = _own and _same = 1)")
+    left = lambda d, by=dropped: d.join(by, names, "left_anti")
+    # merged at every size, as large tables must be: if a small one were broadcast, the rows would be shuffled at large sizes only
+    single = left(marked, dropped.hint("merge")).join(alike, names, "left").filter("_first is null or (_first = _own and _same = 1)")
     same = left(marked.join(alike.filter("_same > 1"), names).filter("_first = _own")).dropDuplicates(names)
     return single.select(*rows.columns).unionByName(same.select(*rows.columns)).toDF(*df.columns)
 
