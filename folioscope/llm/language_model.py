@@ -42,8 +42,8 @@ SHARE = 4 << 20
 BATCH, RATE, SLOWER = 256, 0.006, 1 << 19
 #: A lesson that occurs more than HEAVY times as often as they do on average is learned in several parts, and n-grams that a task looks at together.
 HEAVY, LESSONS = 4, 1 << 13
-#: Positions that a task sorts together, and distinct n-grams that it holds at most (about) before it passes them on.
-CHUNK = 1 << 20
+#: Distinct n-grams that a task holds (about) before it passes them on, in how many parts, and those that a task which adds them up holds.
+CHUNK, PARTS, MOST = 1 << 20, 1 << 10, 1 << 22
 COMMON = 1 << 17
 PRIOR = 0.1
 END = 0xFF
@@ -57,9 +57,10 @@ def keys(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The longest context and the byte, as one number, at every place that is coded; and each text's first and one-past-last place."""
     a = block.bytes.copy()
     a[block.end] = END
-    x = np.zeros(len(a), U)
-    for j in range(ORDERS[-1] + 1):
-        x[j:] |= a[: len(a) - j].astype(U) << U(8 * j)
+    x = a.astype(U)
+    for j in (1, 2, 4):
+        x[j:] |= x[:-j] << U(8 * j)
+    x &= U((1 << (8 * ORDERS[-1] + 8)) - 1)
     room = np.zeros(len(a) + 1, np.int32)
     np.add.at(room, block.begin, 1)
     np.add.at(room, block.end + 1, -1)
@@ -199,42 +200,93 @@ class Model:
 
     def cost(self, key: np.ndarray) -> np.ndarray:
         """log10 of the probability of each key's byte after its context."""
-        total = np.zeros(len(key))
+        total, m = np.zeros(len(key)), self.mixer
+        by_seen, by_bit = np.ascontiguousarray(m.by_seen.T), np.ascontiguousarray(m.by_bit.T)
         for bit in range(8):
-            held = self.slots[np.stack(self.tables.slots(key, bit), 1)]
-            x, c = ((held & 0xFFFF) - 32768).astype(np.float32) * np.float32(1 / SCALE), (held >> 16).astype(np.uint8)
-            g, b = Mixer.gates(list(c.T), key, bit)
-            z, _, _ = self.mixer.refined(self.mixer.mixed(x, g, b, c), g)
+            held = [self.slots[s] for s in self.tables.slots(key, bit)]
+            c = [(h >> 16).astype(np.uint8) for h in held]
+            g, b = Mixer.gates(c, key, bit)
+            z = np.zeros(len(key), np.float32)
+            for i, h in enumerate(held):
+                x = ((h & 0xFFFF) - 32768).astype(np.float32) * np.float32(1 / SCALE)
+                z += (by_seen[i][g] + by_bit[i][b] + m.by_level[i][c[i]]) * x
+            z, _, _ = m.refined(np.clip(z, -11.9, 11.9), g)
             total -= np.logaddexp(0, np.where(bit_of(key, bit), -z, z))
         return total / np.log(10)
 
 
-def grouped(texts: DataFrame, take) -> DataFrame:
-    """(key, n) of what take(block) gives, counted in each task and then over all."""
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of some (keys, counts), sorted, and the sums of their counts."""
+    k, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(k)
+    k, n = k[order], n[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]))
+    return k[first], np.add.reduceat(n, first) if len(first) else n
 
-    def added(k: np.ndarray, n: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        more, m = np.unique(np.concatenate(held), return_counts=True)
-        both, back = np.unique(np.concatenate([k, more]), return_inverse=True)
-        return both, np.bincount(back, np.concatenate([n, m])).astype(np.int64)
+
+def grouped(texts: DataFrame, take, name: str) -> DataFrame:
+    """(key, n) of what take(block) gives, counted in each task and then over all, stored.
+
+    Keys travel by the thousand, as bytes, in PARTS parts by hash. A task that gets more than MOST distinct ones passes
+    them on before it has seen all, and then they are grouped once more."""
 
     def run(batches):
-        k, n, held, size = np.zeros(0, U), np.zeros(0, np.int64), [], 0
+        def out():
+            k, n = held[0]
+            part = (mix(k) >> U(64 - PARTS.bit_length() + 1)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            k, n, end = k[order], n[order], np.cumsum(np.bincount(part, minlength=PARTS))
+            rows = [(i, k[a:b].tobytes(), n[a:b].tobytes()) for i, (a, b) in enumerate(zip(np.append(0, end[:-1]), end, strict=True)) if a < b]
+            i, k, n = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(k, pa.binary()), pa.array(n, pa.binary())], ["part", "keys", "counts"])
+
+        held, size = [], 0
         for b in batches:
             for block in blocks(b.column(0).to_pylist(), GAP):
-                held.append(take(block))
-                size += len(held[-1])
-                if size >= CHUNK:
-                    k, n = added(k, n, held)
-                    held, size = [], 0
-                    if len(k) >= CHUNK:
-                        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["key", "n"])
-                        k, n = k[:0], n[:0]
-        if held:
-            k, n = added(k, n, held)
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["key", "n"])
+                held.append(np.unique(take(block), return_counts=True))
+                size += len(held[-1][0])
+                if size >= 2 * CHUNK:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size >= CHUNK:
+                        yield out()
+                        held, size = [], 0
+        if size:
+            held = [summed(held)]
+            yield out()
+
+    def total(batches):
+        def out():
+            k, n = held[0]
+            # in no order, since what learns from them does so one after another
+            order = np.random.default_rng(0).permutation(len(k))
+            for i in (order[at : at + CHUNK // 8] for at in range(0, len(k), CHUNK // 8)):
+                yield pa.RecordBatch.from_arrays([pa.array(k[i].view(np.int64)), pa.array(n[i]), pa.array(np.full(len(i), whole))], ["key", "n", "whole"])
+
+        held, size, whole = [], 0, True
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.append((np.frombuffer(k, U), np.frombuffer(n, np.int64)))
+                size += len(held[-1][0])
+                if size >= 2 * MOST:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size >= MOST:
+                        whole = False
+                        yield from out()
+                        held, size = [], 0
+        if size:
+            held = [summed(held)]
+            yield from out()
 
     find_code(texts.sparkSession)
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    parts = texts.mapInArrow(run, "part int, keys binary, counts binary").repartition("part").select("keys", "counts")
+    rows = stored(parts.mapInArrow(total, "key long, n long, whole boolean"), name)
+    if rows.filter(~F.col("whole")).isEmpty():
+        return rows
+    again = stored(rows.groupBy("key").agg(F.sum("n").alias("n")), name)
+    discard(rows)
+    return again
 
 
 def counted(texts: DataFrame) -> tuple[Tables, np.ndarray, np.ndarray]:
@@ -249,7 +301,7 @@ def counted(texts: DataFrame) -> tuple[Tables, np.ndarray, np.ndarray]:
 
 def n_grams(texts: DataFrame) -> DataFrame:
     """key and n of every distinct n-gram of all texts."""
-    return stored(grouped(texts, lambda block: keys(block)[0]), "n-grams")
+    return grouped(texts, lambda block: keys(block)[0], "n-grams")
 
 
 def spread_out(held: DataFrame) -> tuple[Tables, np.ndarray, np.ndarray]:
@@ -281,7 +333,7 @@ def spread_out(held: DataFrame) -> tuple[Tables, np.ndarray, np.ndarray]:
 
     kind = "part int, zeros binary, ones binary"
     tasks = max(1, -(-n // SHARE))
-    parts = stored(held.coalesce(tasks).mapInArrow(run, kind).groupBy("part").applyInArrow(total, kind), "count-tables")
+    parts = stored(held.select("key", "n").coalesce(tasks).mapInArrow(run, kind).groupBy("part").applyInArrow(total, kind), "count-tables")
     zeros, ones = np.zeros(tables.size, np.uint32), np.zeros(tables.size, np.uint32)
     for name, out in (("zeros", zeros), ("ones", ones)):
         for p in parts.select("part", name).collect():
@@ -430,19 +482,25 @@ def scorer(spark: SparkSession, model: Model):
 
         held = language_model._worked_out
         if held.get("token") != token:
-            held.update(token=token, key=np.full(1 << CACHE, U(2**64 - 1)), cost=np.zeros(1 << CACHE, np.float32))
+            held.update(token=token, key=np.full((2, 1 << CACHE), U(2**64 - 1)), cost=np.zeros((2, 1 << CACHE), np.float32))
+        (key1, key2), (cost1, cost2) = held["key"], held["cost"]
         key, lo, hi = keys(block)
         at = (mix(key) >> U(64 - CACHE)).astype(np.int64)
-        miss = held["key"][at] != key
-        cost = held["cost"][at].astype(np.float64)
-        if miss.any():
+        cost, miss = cost1[at].astype(np.float64), np.flatnonzero(key1[at] != key)
+        to = at[miss]
+        there = key2[to] == key[miss]
+        cost[miss[there]] = cost2[to[there]]
+        miss = miss[~there]
+        if len(miss):
             new, back = np.unique(key[miss], return_inverse=True)
-            got = np.concatenate([ready.value.cost(new[i : i + (1 << 16)]) for i in range(0, len(new), 1 << 16)])
+            got = np.concatenate([ready.value.cost(new[i : i + (1 << 14)]) for i in range(0, len(new), 1 << 14)]).astype(np.float32)
             to = (mix(new) >> U(64 - CACHE)).astype(np.int64)
-            held["cost"][to] = got
-            held["key"][to] = new
-            # of two keys for one place the last wins in both arrays
-            cost[miss] = got.astype(np.float32)[back]
+            # what stood first goes to the second place; of several new keys for one place the last wins in all arrays, and of the others the last goes there
+            key2[to], cost2[to] = key1[to], cost1[to]
+            key1[to], cost1[to] = new, got
+            late = key1[to] != new
+            key2[to[late]], cost2[to[late]] = new[late], got[late]
+            cost[miss] = got[back]
         total = np.add.reduceat(cost, lo)
         return {"score": total, "bits_per_byte": -total / np.log10(2) / (hi - lo)}
 
@@ -459,7 +517,7 @@ def unigram(df: DataFrame, train: DataFrame, keep: list[str], text: str = "text"
 
     With a model also score and bits_per_byte, from the same scan."""
     spark = df.sparkSession
-    counts = stored(grouped(train.select(F.coalesce(F.col(text), F.lit("")).alias("text")), with_end), "word-counts")
+    counts = grouped(train.select(F.coalesce(F.col(text), F.lit("")).alias("text")), with_end, "word-counts").select("key", "n")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common, others = most_common(counts, COMMON)
     known = sent(spark, Common(common.collect()))
