@@ -42,8 +42,11 @@ SHARE = 4 << 20
 BATCH, RATE, SLOWER = 256, 0.006, 1 << 19
 #: A lesson that occurs more than HEAVY times as often as they do on average is learned in several parts, and n-grams that a task looks at together.
 HEAVY, LESSONS = 4, 1 << 13
+#: n-grams that a task which learns shuffles together.
+CHUNK = 1 << 20
 #: Distinct n-grams that a task holds (about) before it passes them on, in how many parts, and those that a task which adds them up holds.
-CHUNK, PARTS, MOST = 1 << 20, 1 << 10, 1 << 22
+HELD, PARTS, MOST = 1 << 21, 1 << 10, 1 << 21
+BATCH_ROWS = 1 << 17
 COMMON = 1 << 17
 PRIOR = 0.1
 END = 0xFF
@@ -216,14 +219,21 @@ class Model:
 
 
 def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of some (keys, counts), sorted, and the sums of their counts."""
+    """The distinct keys of some (keys, counts), sorted, and the sums of their counts. Empties the list."""
     k, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(k)
+    held.clear()
+    # the keys come in sorted runs, which a stable sort merges
+    order = np.argsort(k, kind="stable")
     k, n = k[order], n[order]
     first = np.flatnonzero(np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]))
     return k[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold them all."""
+    return n.astype(np.min_scalar_type(int(n.max())))
+
+
 def grouped(texts: DataFrame, take, name: str) -> DataFrame:
     """(key, n) of what take(block) gives, counted in each task and then over all, stored.
 
@@ -236,7 +246,7 @@ def grouped(texts: DataFrame, take, name: str) -> DataFrame:
             part = (mix(k) >> U(64 - PARTS.bit_length() + 1)).astype(np.uint16)
             order = np.argsort(part, kind="stable")
             k, n, end = k[order], n[order], np.cumsum(np.bincount(part, minlength=PARTS))
-            rows = [(i, k[a:b].tobytes(), n[a:b].tobytes()) for i, (a, b) in enumerate(zip(np.append(0, end[:-1]), end, strict=True)) if a < b]
+            rows = [(i, k[a:b].tobytes(), narrow(n[a:b]).tobytes()) for i, (a, b) in enumerate(zip(np.append(0, end[:-1]), end, strict=True)) if a < b]
             i, k, n = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(k, pa.binary()), pa.array(n, pa.binary())], ["part", "keys", "counts"])
 
@@ -245,10 +255,10 @@ def grouped(texts: DataFrame, take, name: str) -> DataFrame:
             for block in blocks(b.column(0).to_pylist(), GAP):
                 held.append(np.unique(take(block), return_counts=True))
                 size += len(held[-1][0])
-                if size >= 2 * CHUNK:
+                if size >= HELD + HELD // 2:
                     held = [summed(held)]
                     size = len(held[0][0])
-                    if size >= CHUNK:
+                    if size >= HELD:
                         yield out()
                         held, size = [], 0
         if size:
@@ -260,13 +270,14 @@ def grouped(texts: DataFrame, take, name: str) -> DataFrame:
             k, n = held[0]
             # in no order, since what learns from them does so one after another
             order = np.random.default_rng(0).permutation(len(k))
-            for i in (order[at : at + CHUNK // 8] for at in range(0, len(k), CHUNK // 8)):
+            for i in (order[at : at + BATCH_ROWS] for at in range(0, len(k), BATCH_ROWS)):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i].view(np.int64)), pa.array(n[i]), pa.array(np.full(len(i), whole))], ["key", "n", "whole"])
 
         held, size, whole = [], 0, True
         for b in batches:
             for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.append((np.frombuffer(k, U), np.frombuffer(n, np.int64)))
+                k = np.frombuffer(k, U)
+                held.append((k, np.frombuffer(n, f"u{len(n) // len(k)}").astype(np.int64)))
                 size += len(held[-1][0])
                 if size >= 2 * MOST:
                     held = [summed(held)]
